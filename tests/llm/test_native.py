@@ -1,0 +1,150 @@
+"""Exact dedup, personal data, mixing and sharding against plain Python."""
+
+import hashlib
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import pytest
+from pyspark.sql import functions as F
+
+from keelson.llm import exact_dedup, mixing, pii, sharding
+
+from .util import ODD, near_name_clashes, table
+
+UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+SF = "/root/testdata/sf0.001"
+
+
+def expected_dedup(rows):
+    groups = defaultdict(list)
+    for r in rows:
+        groups[(r[1] or "").translate(UP)].append(r[0])
+    out = []
+    for norm, ids in groups.items():
+        keep = max((i for i in ids if i is not None), default=None)
+        out += [(i, keep, len(ids), hashlib.sha256(norm.encode()).hexdigest()) for i in ids]
+    return sorted(out, key=str)
+
+
+@pytest.mark.parametrize("digest", [exact_dedup.sha256_of, lambda norm: F.substring(norm, 1, 1)])
+def test_exact_dedup(spark, digest):
+    rows = ODD + [(100 + i, "Hot text") for i in range(300)] + [(1000 + i, f"t{i % 7}") for i in range(40)]
+    got = exact_dedup.exact_dedup(near_name_clashes(table(spark, rows)), digest=digest).collect()
+    assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], key=str) == expected_dedup(rows)
+    kept = [r for r in got if r.kept]
+    assert len(kept) == len({r.text_sha256 for r in got})
+    assert all(r.doc_id == r.keep_id for r in kept)
+
+
+def test_drop_exact_copies(spark):
+    docs = near_name_clashes(table(spark, ODD + [(100 + i, "Hot text") for i in range(300)]))
+    out = exact_dedup.drop_exact_copies(docs)
+    assert out.columns == docs.columns
+    ids = sorted(str(r.doc_id) for r in out.collect())
+    assert ids == sorted(map(str, [2, 4, 5, 6, None, 7, 8, 9, 399]))
+    assert exact_dedup.drop_exact_copies(docs.limit(0)).count() == 0
+
+
+def expected_pii(text):
+    text = text or ""
+    found = []
+
+    def luhn(d):
+        s = 0
+        for i, c in enumerate(reversed(d)):
+            v = int(c) * (2 if i % 2 else 1)
+            s += v - 9 if v > 9 else v
+        return s % 10 == 0
+
+    checks = [
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(p) <= 255 for p in m.split("."))),
+        ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 12 <= len(re.sub("[^0-9]", "", m)) <= 19 and luhn(re.sub("[^0-9]", "", m))),
+        ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+    ]
+    for rank, (kind, pattern, ok) in enumerate(checks):
+        found += [(m.start(), rank, kind, m.end()) for m in re.finditer(pattern, text) if ok(m.group())]
+    found.sort()
+    return ",".join(f"{k}:{s}:{e}" for s, _, k, e in found), [sum(f[2] == k for f in found) for k in pii.BASE]
+
+
+PII = [
+    "a@b.c_d@e.f x@y",
+    "a.b@c-d.co.uk, then 4111 1111 1111 1111 and 4111-1111-1111-1112",
+    "1.2.3.4.5.6.7.8 256.1.1.1 000255.1.2.3 9.9.9.9999999999999999",
+    "+1 (555) 123-4567 +44 20 7946 0958.+1234567 +1--2",
+    "🙂🙂 me@x.org 🙂 4222222222222 10.0.0.1\n4222222222222-",
+    "a" * 50_000,
+    "1 2 3-4 " * 20_000,
+    "x@" + "y." * 30_000 + "z",
+    " ".join(f"u{i}@h{i}.com" for i in range(2_000)),
+    "card 79927398713 x 5500005555555559 GB82 WEST 1234 5698 7654 32 iban",
+    None,
+    "",
+]
+
+
+def test_pii(spark):
+    rng = random.Random(3)
+    rows = [(i, t) for i, t in enumerate(PII)]
+    rows += [(100 + i, "".join(rng.choice("0123456789 .-+@ab()%_") for _ in range(rng.randrange(200)))) for i in range(300)]
+    rows += [(r.doc_id + 1000, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").collect()]
+    got = {r.doc_id: r for r in pii.digest_columns(pii.find_pii(near_name_clashes(table(spark, rows)))).collect()}
+    for i, text in rows:
+        base, counts = expected_pii(text)
+        assert [got[i][f"n_{k}"] for k in pii.BASE] == counts, (i, text)
+        assert got[i].base_sha256 == hashlib.sha256(base.encode()).hexdigest(), (i, text, got[i].spans, base)
+        assert ",".join(x for x in got[i].spans.split(",") if x and not x.startswith("iban")) == base
+    assert "iban:" in got[9].spans
+
+
+def test_mixing(spark):
+    rows = ODD + [(100 + i, "w " * (i % 50), f"s{i % 5 if i % 3 else 0}") for i in range(400)]
+    docs = near_name_clashes(table(spark, rows))
+    got = mixing.mix_sources(docs).collect()
+    assert len(got) == len(rows)
+    by = defaultdict(list)
+    for r in got:
+        by[r.source].append(r)
+    total = sum(r.size for r in got)
+    names = sorted((s for s in by if s is not None)) + ([None] if None in by else [])
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(names)}
+    size = {s: sum(r.size for r in by[s]) for s in names}
+    goal, full = {}, set()
+    while True:
+        rest = 1.5 * total - sum(2 * size[s] for s in full)
+        share = sum(weight[s] for s in names if s not in full)
+        goal = {s: 2 * size[s] if s in full else rest * weight[s] / share for s in names}
+        if not (over := {s for s in names if s not in full and goal[s] > 2 * size[s]}):
+            break
+        full |= over
+    for s in names:
+        assert all(abs(r.target - goal[s]) < 1e-6 and r.source_size == size[s] and 0 <= r.taken <= 2 * r.size for r in by[s])
+        assert abs(sum(r.taken for r in by[s]) - goal[s]) <= 1
+    whole = mixing.mix_sources(docs, cut=False).collect()
+    assert all(r.taken == r.size * r.copies for r in whole)
+    for s in names:
+        assert abs(sum(r.taken for r in whole if r.source == s) - goal[s]) <= max(r.size for r in by[s])
+    times = [r.first_time for r in got if r.first_time is not None]
+    assert times == sorted(times) and 0 <= times[0] and times[-1] <= 1
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix_sources(docs).collect()))
+    assert mixing.mix_sources(docs.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("hot", [0, 500])
+def test_sharding(spark, hot):
+    rows = ODD[:6] + ODD[7:8] + [(100 + i, f"text {i} " * (i % 40)) for i in range(600)] + [(5000 + i, "copy " * 20) for i in range(hot)]
+    got = sharding.shard_documents(near_name_clashes(table(spark, rows)), carry=("lang",)).collect()
+    assert len(got) == len(rows)
+    want = sorted((str(i), len((t or "").encode()) + 1, zlib.crc32((t or "").encode())) for i, t, *_ in rows)
+    assert sorted((str(r.doc_id), r.size, r.text_crc32) for r in got) == want
+    total, largest = sum(r.size for r in got), max(r.size for r in got)
+    for s in range(16):
+        own = [r for r in got if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        assert abs(sum(r.size for r in own) - total / 16) <= 0.02 * total / 16 + largest
+    again = sharding.shard_documents(near_name_clashes(table(spark, rows)), carry=("lang",)).collect()
+    assert sorted(map(str, got)) == sorted(map(str, again))
+    assert sharding.shard_documents(table(spark, rows).limit(0)).count() == 0
