@@ -6,14 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, mixing, pii, sharding
+from . import binary_output, exact_dedup, mixing, packing, pii, sharding
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+        "op2_binary_output": binary_output.op2_binary_output,
         "op3_pii": pii.op3_pii,
         "op4_mixing": mixing.op4_mixing,
+        "op6_packing": packing.op6_packing,
         "op8_sharding": sharding.op8_sharding,
     }
 
