@@ -76,3 +76,15 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list, val
         .withColumn(out, F.col("_base") + F.coalesce(F.sum(value).over(inner), F.lit(0)))
         .drop("_base")
     )
+
+
+def drop_rows(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """docs less _lost rows of each (doc_id, raw), where raw is the text's xxhash64; its columns as they are.
+
+    The window needs no exchange or sort beyond the join's own.
+    """
+    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_raw", F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)))
+    lost = lost.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.coalesce("raw", F.lit(0)).alias("_raw"), "_lost")
+    place = F.row_number().over(Window.partitionBy("_id", "_raw").orderBy("_id"))
+    left = keyed.join(lost, ["_id", "_raw"], "left").withColumn("_place", place)
+    return left.where(F.col("_lost").isNull() | (F.col("_place") > F.col("_lost"))).select(*docs.columns)

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import LOWER, UPPER, ascii_lower, documents, stash, text_or_empty
+from .common import LOWER, UPPER, ascii_lower, documents, drop_rows, stash, text_or_empty
 
 #: A digest is hot from 1/HOT_SHARES of all rows (and at least HOT_ROWS), so at most HOT_SHARES digests are.
 HOT_SHARES = 2048
@@ -83,17 +83,7 @@ def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Rows that agree in id and whole text can't be told apart; one of them stays.
     """
     lost = exact_dedup(docs, id_col, text_col).where(~F.col("kept")).groupBy("doc_id", "raw").agg(F.count(F.lit(1)).alias("_lost"))
-    lost = lost.withColumnsRenamed({"doc_id": "_id", "raw": "_raw"})
-    return _without(docs, lost, id_col, text_col)
-
-
-def _without(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs less _lost rows of each (_id, _raw). The window needs no exchange or sort beyond the join's own."""
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_raw", F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)))
-    lost = lost.select(F.coalesce(F.col("_id").cast("string"), F.lit("")).alias("_id"), F.coalesce("_raw", F.lit(0)).alias("_raw"), "_lost")
-    place = F.row_number().over(Window.partitionBy("_id", "_raw").orderBy("_id"))
-    left = keyed.join(lost, ["_id", "_raw"], "left").withColumn("_place", place)
-    return left.where(F.col("_lost").isNull() | (F.col("_place") > F.col("_lost"))).select(*docs.columns)
+    return drop_rows(docs, lost, id_col, text_col)
 
 
 SQL = f"""

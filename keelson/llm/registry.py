@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, exact_dedup, mixing, packing, pii, sharding
+from . import binary_output, exact_dedup, mixing, packing, pii, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -17,6 +17,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_mixing": mixing.op4_mixing,
         "op6_packing": packing.op6_packing,
         "op8_sharding": sharding.op8_sharding,
+        "op9_simhash": simhash.op9_simhash,
     }
 
 
