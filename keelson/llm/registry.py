@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, exact_dedup, mixing, packing, pii, sharding, simhash
+from . import binary_output, exact_dedup, mixing, packing, pii, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": packing.op6_packing,
         "op8_sharding": sharding.op8_sharding,
         "op9_simhash": simhash.op9_simhash,
+        "op10_quality": quality.op10_quality,
     }
 
 
