@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, exact_dedup, mixing, packing, pii, quality, sharding, simhash
+from . import binary_output, exact_dedup, fingerprints, mixing, packing, pii, quality, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_pii": pii.op3_pii,
         "op4_mixing": mixing.op4_mixing,
         "op6_packing": packing.op6_packing,
+        "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_sharding": sharding.op8_sharding,
         "op9_simhash": simhash.op9_simhash,
         "op10_quality": quality.op10_quality,
