@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import binary_output, exact_dedup, fingerprints, mixing, packing, pii, quality, sharding, simhash
+from . import binary_output, exact_dedup, fingerprints, mixing, packing, pii, quality, repeats, sharding, simhash
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_binary_output": binary_output.op2_binary_output,
         "op3_pii": pii.op3_pii,
         "op4_mixing": mixing.op4_mixing,
+        "op5_repeats": repeats.op5_repeats,
         "op6_packing": packing.op6_packing,
         "op7_fingerprints": fingerprints.op7_fingerprints,
         "op8_sharding": sharding.op8_sharding,
