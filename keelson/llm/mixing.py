@@ -54,9 +54,9 @@ def time_of(words: Column, target: Column, slope: Column) -> Column:
     return F.when(slope == 0, part).otherwise((root - (1 - slope)) / (2 * slope))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, cut: bool = True) -> DataFrame:
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, cut: bool = True, carry: str | None = None) -> DataFrame:
     """One row per row of docs, range-sorted by training time: doc_id, size, source, source_size, target, taken, copies,
-    first_time, second_time.
+    first_time, second_time, and the column named in carry.
 
     Null text has size 0. Null sources form one source of their own, last in order. taken: words that the mix takes of
     the document. With cut, the document at which a source meets its target counts in part, so that the source's taken
@@ -66,7 +66,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
     key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), key.alias("_key"))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), key.alias("_key"), *([carry] if carry else []))
     slim = stash(slim.withColumn("_named", F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce("source", F.lit("")))).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS)))
     targets = source_targets(slim.groupBy("source", "_named").agg(F.sum("size").alias("source_size")).drop("_named"))
     targets = targets.withColumn("_named", F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce("source", F.lit("")))).drop("source")
@@ -85,7 +85,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         taken = size * copies
     rows = rows.withColumn("taken", taken).withColumn("copies", copies)
     reached = lambda start, n: F.when(F.col("copies") >= n, time_of(start, target, F.col("slope")))
-    out = rows.select("doc_id", "size", "source", "source_size", "target", "taken", "copies", reached(first, 1).alias("first_time"), reached(second, 2).alias("second_time"), "_key")
+    out = rows.select("doc_id", "size", "source", "source_size", "target", "taken", "copies", reached(first, 1).alias("first_time"), reached(second, 2).alias("second_time"), "_key", *([carry] if carry else []))
     return out.orderBy(F.col("first_time").asc_nulls_last(), "_key").drop("_key")
 
 
@@ -111,3 +111,16 @@ SELECT r.doc_id, r.size, t.source_size, t.target,
     + greatest(least(CAST(round(t.target) AS BIGINT) - r.before - t.source_size, r.size), 0) AS BIGINT) AS taken
 FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
 """
+
+
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
+    """docs as the mix takes them: each row as often as mix_sources, without cuts, copies it (0 to MOST times); its columns as
+    they are. Rows that agree in id and text share their copies evenly."""
+    mixed = mix_sources(docs.withColumn("_raw", F.xxhash64(F.col(text_col))), id_col, text_col, source_col, seed, cut=False, carry="_raw")
+    taken = mixed.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "_raw").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
+    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_raw", F.xxhash64(F.col(text_col)))
+    place = F.row_number().over(Window.partitionBy("_id", "_raw").orderBy("_id"))  # sorted so by the join already
+    placed = keyed.join(taken.where("_copies > 0"), ["_id", "_raw"]).withColumn("_place", place)
+    share = lambda k: F.floor(F.col("_copies") * k / F.col("_rows"))
+    copies = (share(F.col("_place")) - share(F.col("_place") - 1)).cast("int")
+    return placed.withColumn("_n", copies).where("_n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
