@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import EngineError, quoted
-from .functions.expressions import check_names, compile_expression, label
+from .functions.expressions import check_names, compile_expression, failing, label
 from .operators import compact as compaction
 from .operators.merge import key_columns, view
 from .operators.modify import Mode, check_rows, delete, put, tombstones
@@ -219,7 +219,7 @@ class Engine:
                 raise EngineError("UPDATE cannot change a primary key column")
             value, kind = compile_expression(schema, node)
             if kind is not None and kind is not column.kind:
-                value = F.when(value.isNull(), F.raise_error(F.lit(f"type mismatch assigning to {quoted(name)}"))).otherwise(F.raise_error(F.lit(f"type mismatch assigning to {quoted(name)}")))
+                value = failing(f"type mismatch assigning to {quoted(name)}", value)
             changes[name] = value.cast(column.kind.spark)
         rows = table.range(plan_where(schema, s.where), ordered=False)
         new = rows.select(*[changes.get(n, F.col(f"`{n}`")).alias(n) for n in schema.names], F.lit(False).alias(DELETED))

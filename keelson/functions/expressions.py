@@ -26,8 +26,10 @@ _COMPARE = {
 }
 
 
-def failing(message: str) -> Column:
-    return F.raise_error(F.lit(message)).cast("bigint")
+def failing(message: str, *first: Column) -> Column:
+    """Raises message, after what evaluating the columns in first raises: the message depends on them, so they can't be left out."""
+    nothing = [F.substring(c.cast("string"), 1, 0) for c in first]
+    return F.raise_error(F.concat(F.lit(message), *nothing)).cast("bigint")
 
 
 def _whole(condition: Column) -> Column:
@@ -39,11 +41,6 @@ def _truth(value: Typed) -> Column:
     return F.length(column) > 0 if kind is Kind.TEXT else column != 0
 
 
-def _after(first: Column, error: Column) -> Column:
-    """error, once first was evaluated: what first raises comes before."""
-    return F.when(first.isNull(), error).otherwise(error)
-
-
 def compile_expression(schema: TableSchema, node: Node) -> Typed:
     match node:
         case Name(name):
@@ -60,7 +57,7 @@ def compile_expression(schema: TableSchema, node: Node) -> Typed:
             if op == "not":
                 return _whole(~_truth(value)), Kind.INT
             if value[1] is Kind.TEXT:
-                return _after(value[0], failing("unary minus requires an integer")), None
+                return failing("unary minus requires an integer", value[0]), None
             return -value[0], Kind.INT
         case Listed():
             return failing("cannot evaluate a list of values"), None
@@ -77,13 +74,13 @@ def _binary(op: str, left: Typed, right: Typed) -> Typed:
         settled = ~_truth(left) if op == "and" else _truth(left)
         return F.when(settled, F.lit(int(op == "or")).cast("bigint")).otherwise(then), Kind.INT
     if right[1] is None:
-        return _after(left[0], right[0]), None
+        return F.coalesce(F.nullif(left[0], left[0]).cast("bigint"), right[0]), None  # left first, then what right raises
     if op in _COMPARE:
         if left[1] is not right[1]:
-            return _after(left[0], _after(right[0], failing("cannot compare values of different types"))), None
+            return failing("cannot compare values of different types", left[0], right[0]), None
         return _whole(_COMPARE[op](left[0], right[0])), Kind.INT
     if Kind.TEXT in (left[1], right[1]):
-        return _after(left[0], _after(right[0], failing("arithmetic requires integers"))), None
+        return failing("arithmetic requires integers", left[0], right[0]), None
     a, b = left[0], right[0]
     if op == "/":
         return F.when(b == 0, failing("division by zero")).otherwise(F.call_function("div", a, b)), Kind.INT

@@ -20,14 +20,13 @@ class Mode(Enum):
 
 
 def check_rows(rows: DataFrame, schema: TableSchema) -> None:
-    """Refuse nulls and repeated keys: a table has neither."""
-    nulls = F.lit(False)
+    """Refuse nulls and repeated keys: a table has neither. One pass finds both."""
+    null = F.lit(False)
     for name in schema.names:
-        nulls = nulls | F.col(f"`{name}`").isNull()
-    if rows.where(nulls).take(1):
-        raise EngineError("null in a table's row")
-    if rows.groupBy(*key_columns(schema)).agg(F.count(F.lit(1)).alias("@n")).where("`@n` > 1").take(1):
-        raise EngineError("duplicate primary key")
+        null = null | F.col(f"`{name}`").isNull()
+    by_key = rows.groupBy(*key_columns(schema)).agg(F.count(F.lit(1)).alias("@n"), F.max(null).alias("@null"))
+    if bad := by_key.where("`@n` > 1 or `@null`").select("`@null`").take(1):
+        raise EngineError("null in a table's row" if bad[0][0] else "duplicate primary key")
 
 
 def put(store: SegmentStore, rows: DataFrame, mode: Mode = Mode.UPSERT, sort: bool = True) -> int:
