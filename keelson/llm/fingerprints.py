@@ -12,12 +12,11 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, range_place, text_or_empty
 
 BINS, EMPTY = 64, 0xFFFF
 #: Levels whose names are in the set: phrases of about 12 and 40 bytes.
@@ -158,22 +157,14 @@ def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
     Documents stand in descending order of id, null ids last, rows of one id by their texts' hash; the next of the last
     is the first, and that of a single one itself. Null text counts as empty; the fingerprint of an empty text is all f.
-    Ranges of ids are cut at quantiles, so a task holds a range's rows one after the other and one row of the next range.
+    Ranges of ids hold about as many rows each, so a task holds a range's rows one after the other and one row of the next range.
     An empty table gives no rows.
     """
     text = text_or_empty(text_col).cast("binary")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
     total = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)) + 1)).first()[0] or 0
     ranges = max(1, -(-total // RANGE_BYTES))
-    marks = docs.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [i / ranges for i in range(1, ranges)], 1 / (4 * ranges)) if ranges > 1 else []
-    marks = np.unique(np.array(marks, dtype=np.float64))
-
-    @F.pandas_udf("int")
-    def range_of(ids: pd.Series) -> pd.Series:
-        values = pd.to_numeric(ids).to_numpy(dtype=np.float64, na_value=-np.inf)
-        return pd.Series(len(marks) - np.searchsorted(marks, values, side="left")).astype("int32")
-
-    rows = rows.withColumn("bucket", range_of("doc_id"))
+    rows = rows.withColumn("bucket", F.lit(ranges - 1) - range_place(docs, id_col, ranges)("doc_id"))
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")
     heads = [(r["bucket"], r["head"]["doc_id"], r["head"]["tie"]) for r in rows.select("bucket", "doc_id", "tie").groupBy("bucket").agg(F.max(order).alias("head")).orderBy("bucket").collect()]
     before = [heads[i - 1][0] for i in range(len(heads))]  # the range whose last row a head follows

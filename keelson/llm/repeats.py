@@ -20,12 +20,11 @@ import hashlib
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, remove_path, shared_path, stash, text_or_empty
+from .common import documents, range_place, remove_path, shared_path, stash, text_or_empty
 
 WIDTH, GRAM = 100, 24
 #: Bytes of text to a block and to a bucket; positions worked on at once.
@@ -222,12 +221,7 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     facts = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)) + 1)).first()
     total = facts[0] or 0
     n_blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES))
-    marks = docs.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [i / n_blocks for i in range(1, n_blocks)], 1 / (4 * n_blocks)) if n_blocks > 1 else []
-    marks = np.unique(np.array(marks, dtype=np.float64))
-
-    @F.pandas_udf("int")
-    def block_of(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(marks, pd.to_numeric(ids).to_numpy(dtype=np.float64, na_value=-np.inf), side="left")).astype("int32")
+    block_of = range_place(docs, id_col, n_blocks)
 
     name, path = f"keelson_repeats_{uuid.uuid4().hex}", shared_path(spark, "repeats")
     laid = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text")).withColumn("block", block_of("doc_id"))
