@@ -18,13 +18,16 @@ import numpy as np
 #: letters before U+0180 (without U+0130, whose lower case is two characters) and general punctuation.
 SAFE = [chr(c) for r in ((9, 11), (13, 14), (0x20, 0x7F), (0xA1, 0x130), (0x131, 0x180), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0)) for c in range(*r)]
 #: Pieces kept in a cache, and the longest piece kept.
-CACHE, LONGEST = 600_000, 48
+CACHE, LONGEST = 400_000, 48
+#: Bytes of text split into words at once.
+AT_ONCE = 1 << 20
 
 
 def _class(chars: list[str]) -> str:
     return "".join(re.escape(c) for c in chars)
 
 
+_BLANK = re.compile(rb"[\t-\r ]")
 _LETTERS = _class([c for c in SAFE if unicodedata.category(c)[0] == "L"])
 _NUMBERS = _class([c for c in SAFE if unicodedata.category(c)[0] == "N"])
 _UNSAFE = re.compile(f"[^{_class(SAFE)}]|<\\|")
@@ -63,6 +66,21 @@ class WordEncoder:
         """The ids of each text (UTF-8), as bytes."""
         if not self.fast:
             return self._ids([t.decode() for t in texts])
+        out: list[bytes] = []
+        group: list[bytes] = []
+        size = 0
+        for text in texts:
+            if size + len(text) > AT_ONCE:
+                out += self._group(group)
+                group, size = [], 0
+            if len(text) > AT_ONCE:
+                out.append(b"".join(ids for part in _parts(text) for ids in self._group([part])))
+            else:
+                group.append(text)
+                size += len(text)
+        return out + self._group(group)
+
+    def _group(self, texts: list[bytes]) -> list[bytes]:
         split = [t.split() for t in texts]  # at ASCII white space; any other stays for the library
         if new := set().union(*split).difference(self.words):
             new = list(new)
@@ -75,6 +93,16 @@ class WordEncoder:
         return [b"".join(map(get, w)) for w in split]
 
 
+def _parts(text: bytes):
+    """A long text cut at white space."""
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + AT_ONCE)
+        end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = end
+
+
 class _Cache(dict):
     """Ids by piece: CACHE of the short ones for good, the others until the next are learnt."""
 

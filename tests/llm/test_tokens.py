@@ -9,7 +9,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from keelson.llm import binary_output, packing
+from keelson.llm import binary_output, packing, tokens
 from keelson.llm.tokens import ByteEncoder, WordEncoder, encoder, public_path
 
 from .util import ODD, near_name_clashes, table
@@ -32,6 +32,13 @@ def test_byte_ids_are_the_librarys(spark):
     assert [np.frombuffer(x, tool.dtype).tolist() for x in tool.encode(texts)] == [tool.library.encode_ordinary(t) for t in texts]
 
 
+def test_long_texts_are_cut_at_blanks(monkeypatch):
+    monkeypatch.setattr(tokens, "AT_ONCE", 50)
+    tool = encoder(WordEncoder, public_path(packing.VOCABULARY))
+    texts = ["word and it's " * 40, "x" * 300, "", "short", " \n" * 100, "é" * 40 + " end"]
+    assert tool.encode([t.encode() for t in texts]) == tool._ids(texts)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text(max_size=80))
 def test_ids_of_any_text(text):
