@@ -8,13 +8,19 @@ import uuid
 from pyspark.sql import SparkSession
 
 
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where it is unset and the master is local."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """spark.checkpoint.dir; a folder of our own, one to an application, only where it is unset and the master is local."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir", None)
     if found is None:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="keelson-")
+        if context.applicationId not in _OWN:
+            _OWN[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="keelson-")
+        found = _OWN[context.applicationId]
     return found
 
 
