@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..sources.shared import Files, fresh_root, shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = "abcdefghijklmnopqrstuvwxyz"
 
@@ -22,35 +21,20 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
-def checkpoint_dir(spark: SparkSession) -> str:
-    """The folder all executors share. One of our own only where none is set and the master is local."""
-    sc = spark.sparkContext
-    found = sc.getConf().get("spark.checkpoint.dir", None)
-    if found is None and sc._jsc.sc().getCheckpointDir().isDefined():
-        found = sc._jsc.sc().getCheckpointDir().get()
-    if found is None:
-        if not sc.master.startswith("local"):
-            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="keelson-")
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(found)
-    return found
-
-
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{checkpoint_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path below the folder that all executors share."""
+    return fresh_root(spark, label)
 
 
 def remove_path(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    Files(spark, path).remove(path)
 
 
 def stash(df: DataFrame) -> DataFrame:
     """Cut the lineage: what df holds, kept in the shared folder. For narrow tables; call it where a table is read more than once."""
-    checkpoint_dir(df.sparkSession)
+    context = df.sparkSession.sparkContext
+    if not context._jsc.sc().getCheckpointDir().isDefined():
+        context.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
