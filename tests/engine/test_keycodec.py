@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from keelson.functions.keycodec import encode_key
+from keelson.functions.keycodec import decode_key, encode_key
 from keelson.plans.schema import TableSchema
 
 
@@ -13,3 +13,13 @@ def test_bytes_order_as_keys(spark):
     assert [(r.i, r.s) for r in sorted(got, key=lambda r: bytes(r.key))] == sorted(rows, key=lambda r: (r[0], r[1].encode()))
     one = spark.createDataFrame([(1, "a\x00\x01")], "i long, s string").select(F.hex(encode_key(schema))).first()[0]
     assert one == "01" + "8000000000000001" + "02" + "61" + "0101" + "0102" + "00" + "00"
+
+
+def test_keys_come_back(spark):
+    schema = TableSchema.of("t", "i int64, s string, r string", "s, i, r")
+    rows = [(i, s, r) for i in (-(2**63), -1, 0, 2**63 - 1) for s in ("", "a", "b\x00\x01", "\x01\x01\x02", "é") for r in ("", "00", "\x00")]
+    frame = spark.createDataFrame(rows, schema.struct()).withColumn("key", encode_key(schema))
+    got = frame.select(*[c.alias(n) for n, c in decode_key(schema, F.col("key")).items()]).select("i", "s", "r").collect()
+    assert [tuple(r) for r in got] == rows
+    other = TableSchema.of("u", "i int64", "i")
+    assert frame.select(decode_key(other, F.col("key"))["i"]).distinct().collect()[0][0] is None
