@@ -20,7 +20,7 @@ SAFE = [chr(c) for r in ((9, 11), (13, 14), (0x20, 0x7F), (0xA1, 0x130), (0x131,
 #: Pieces kept in a cache, and the longest piece kept.
 CACHE, LONGEST = 400_000, 48
 #: Bytes of text split into words at once.
-AT_ONCE = 1 << 20
+AT_ONCE = 4 << 20
 
 
 def _class(chars: list[str]) -> str:
@@ -33,7 +33,7 @@ _NUMBERS = _class([c for c in SAFE if unicodedata.category(c)[0] == "N"])
 _UNSAFE = re.compile(f"[^{_class(SAFE)}]|<\\|")
 #: The split of the vocabulary with word ends (fixed value), and the same for safe characters.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_WORD_PIECES = re.compile(rf"[{_LETTERS}]+|[{_NUMBERS}]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{_LETTERS}{_NUMBERS}]+")
+_WORD_PIECES = re.compile(rf"[{_LETTERS}]+|\n|[{_NUMBERS}]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{_LETTERS}{_NUMBERS}]+")
 
 #: The split of the byte-level vocabulary (fixed value), and the same for safe characters.
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -58,10 +58,22 @@ class WordEncoder:
         norms = [x["type"] for x in (kind.get("normalizer") or {}).get("normalizers", [])]
         splits = (kind.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
         self.fast = norms == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern") == {"Regex": WORD_SPLIT}
+        if self.fast:  # the same merges for pieces that are normalised and split already, with blanks between them
+            kind["normalizer"] = kind["post_processor"] = None
+            splits[0] = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
+            self.merger = Tokenizer.from_str(json.dumps(kind))
+            self.merger.encode_special_tokens = True
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, dtype=self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _merged(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces, by one call."""
+        made = self.merger.encode(" ".join(pieces), add_special_tokens=False)
+        ids = np.asarray(made.ids, dtype=self.dtype).tobytes()
+        edges = np.searchsorted(np.asarray(made.word_ids, dtype=np.int64), np.arange(len(pieces) + 1)) * self.dtype.itemsize
+        return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text (UTF-8), as bytes."""
         if not self.fast:
@@ -84,13 +96,34 @@ class WordEncoder:
         split = [t.split() for t in texts]  # at ASCII white space; any other stays for the library
         if new := set().union(*split).difference(self.words):
             new = list(new)
-            parts = [_WORD_PIECES.findall(w.lower()) if not _UNSAFE.search(w) else [w] for w in map(bytes.decode, new)]
-            fresh = list(set().union(*parts).difference(self.pieces))
-            self.pieces.learn(fresh, self._ids(fresh))
-            ids = self.pieces.__getitem__
-            self.words.learn(new, [b"".join(map(ids, p)) for p in parts])
+            self.words.learn(new, self._of_words([w.decode() for w in new]))
         get = self.words.__getitem__
-        return [b"".join(map(get, w)) for w in split]
+        out = [b"".join(map(get, w)) for w in split]
+        self.words.settle()
+        return out
+
+    def _of_words(self, words: list[str]) -> list[bytes]:
+        """The ids of words, by those of their pieces; words with a character that isn't safe go through the library."""
+        joined = "\n".join(words)
+        odd = {i for i, w in enumerate(words) if _UNSAFE.search(w)} if _UNSAFE.search(joined) else set()
+        if odd:
+            joined = "\n".join("" if i in odd else w for i, w in enumerate(words))
+        pieces = _WORD_PIECES.findall(joined.lower())  # a line end after each word but the last
+        fresh = list(set(pieces).difference(self.pieces, ("\n",)))
+        self.pieces.learn(fresh, self._merged(fresh) if fresh else [])
+        ids, out, own = self.pieces.__getitem__, [], []
+        for piece in pieces:
+            if piece == "\n":
+                out.append(b"".join(own))
+                own = []
+            else:
+                own.append(ids(piece))
+        out.append(b"".join(own))
+        self.pieces.settle()
+        if odd:
+            for i, made in zip(sorted(odd), self._ids([words[i] for i in sorted(odd)]), strict=True):
+                out[i] = made
+        return out
 
 
 def _parts(text: bytes):
@@ -104,17 +137,21 @@ def _parts(text: bytes):
 
 
 class _Cache(dict):
-    """Ids by piece: CACHE of the short ones for good, the others until the next are learnt."""
+    """Ids by piece. What was learnt last is all there until settled; then CACHE of the short ones stay."""
 
-    other: dict = {}
+    fresh: list = []
 
     def learn(self, pieces: list, ids: list[bytes]) -> None:
-        self.other = dict(zip(pieces, ids, strict=True))
-        if len(self) < CACHE:
-            self.update((p, i) for p, i in self.other.items() if len(p) <= LONGEST)
-
-    def __missing__(self, piece):
-        return self.other[piece]
+        self.update(zip(pieces, ids, strict=True))
+        self.fresh = pieces
+
+    def settle(self) -> None:
+        over = len(self) - CACHE
+        for piece in self.fresh:
+            if over > 0 or len(piece) > LONGEST:
+                del self[piece]
+                over -= 1
+        self.fresh = []
 
 
 class ByteEncoder:
