@@ -28,7 +28,7 @@ from .common import documents, range_place, remove_path, shared_path, stash, tex
 
 WIDTH, GRAM = 100, 24
 #: Bytes of text to a block and to a bucket; positions worked on at once.
-BLOCK_BYTES, BUCKET_BYTES, AT_ONCE = 4 << 20, 48 << 20, 1 << 19
+BLOCK_BYTES, BUCKET_BYTES, AT_ONCE = 4 << 20, 12 << 20, 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
 
 
