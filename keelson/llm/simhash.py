@@ -24,6 +24,8 @@ DIFFER = 4
 #: Widths of the blocks, DIFFER + 1 of them; from low bits to high.
 BLOCKS = (13, 13, 13, 13, 12)
 FANOUT = 16
+#: Parts that a large component's fingerprints are dealt in.
+SALTS = 16
 #: Pairs of nodes or fingerprints compared at once.
 AT_ONCE = 1 << 18
 
@@ -193,8 +195,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     distinct = stash(rows.groupBy("fingerprint").agg(F.min("doc_id").alias("least")))
     trees = components(find_links(distinct))
     placed = distinct.join(trees, distinct["fingerprint"] == trees["node"], "left").select("fingerprint", "least", F.coalesce("root", "fingerprint").alias("root"))
-    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = placed.join(smallest, "root").select("fingerprint", "root", "component_id")
+    # most fingerprints are alone; the answers of the others are salted, as one component may hold a third of all
+    smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    smallest = smallest.select("root", "component_id", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("salt"))
+    placed = placed.withColumn("salt", F.pmod(F.xxhash64("fingerprint"), F.lit(SALTS)))
+    classes = placed.join(smallest, ["root", "salt"], "left").select("fingerprint", "root", F.coalesce("component_id", "least").alias("component_id"))
     return rows.join(classes, "fingerprint").select("doc_id", "raw", "fingerprint", "component_id", "root")
 
 
