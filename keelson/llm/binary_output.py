@@ -112,6 +112,8 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int
         def close():
             if sink is not None:
                 sink.close()
+                if store.get_file_info(names[1]).type != fs.FileType.NotFound:
+                    store.delete_file(names[1])  # of the same task, run before
                 store.move(*names)
 
         for batch in batches:
@@ -137,7 +139,7 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int
         close()
 
     made = read.mapInArrow(sequences, "shard int, place long, tie long, doc_id long, piece int, n_ids int, ids binary")
-    made = made.repartition(shards, "shard").sortWithinPartitions("shard", "place", "tie")
+    made = made.repartitionById(shards, "shard").sortWithinPartitions("shard", "place", "tie")
     made.mapInArrow(write, "doc_id long, piece int, start long, n_ids int, shard int, shard_slot long, byte_offset long, ids_crc32 long").write.parquet(f"{out}/index")
     index = spark.read.parquet(f"{out}/index")
     per_shard = index.groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
