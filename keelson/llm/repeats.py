@@ -11,7 +11,7 @@ all bytes that its strings span. Buckets are settled one by one from names alone
 
 Names are pairs of 64-bit hashes. No task holds more than a block or a bucket, both of bounded size, and no group of equal
 strings is ever gathered, as blocks send one of each. (A difference cover by position would do the same, but samples
-9 places of 64 where this samples one of about 39, as README says.)
+9 places of 64 where this samples one of about 30, as README says.)
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .common import documents, range_place, remove_path, shared_path, stash, text_or_empty
 
-WIDTH, GRAM = 100, 24
+WIDTH, GRAM = 100, 40
 #: Bytes of text to a block and to a bucket; positions worked on at once.
 BLOCK_BYTES, BUCKET_BYTES, AT_ONCE = 4 << 20, 12 << 20, 1 << 18
 _PLACE = np.uint64((1 << 20) - 1)
