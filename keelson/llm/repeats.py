@@ -255,9 +255,18 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
 
     out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
-    settle = lambda kind: lambda table: _settle(table, kind)
-    one = stash(store.applyInArrow(units, sent).groupBy("bucket").applyInArrow(settle(1), replied))
-    two = stash(store.cogroup(one.groupBy("block")).applyInArrow(strings, sent).groupBy("bucket").applyInArrow(settle(2), replied))
+    def settled(rows: DataFrame, kind: int) -> DataFrame:
+        """One bucket to a partition."""
+
+        def settle(batches):
+            got = list(batches)
+            if got:
+                yield from _settle(pa.Table.from_batches(got), kind).to_batches()
+
+        return stash(rows.repartitionById(buckets, "bucket").mapInArrow(settle, replied))
+
+    one = settled(store.applyInArrow(units, sent), 1)
+    two = settled(store.cogroup(one.groupBy("block")).applyInArrow(strings, sent), 2)
     made = store.cogroup(one.unionAll(two).groupBy("block")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>, kept binary")
     made = stash(made if texts else made.drop("kept"))
     spark.sql(f"DROP TABLE {name}")
