@@ -14,14 +14,25 @@ from .common import documents, text_or_empty
 
 #: kind, pattern, words that raise the score of a span they stand near. Possessive quantifiers match what greedy ones
 #: would here, as nothing that follows could take back a character; Java runs them without recursion. The look-behinds
-#: spare the runs that a match could only start in the midst of.
+#: spare the runs that a match could only start in the midst of. An IBAN's end shows only in its checksum: its pattern takes
+#: the first four characters and captures the run from there, with one character more if that goes on the last word.
 BASE = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])(?=([A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+[A-Za-z0-9]?+))[A-Z]{2}[0-9]{2}",
+}
+#: Characters of an IBAN by country; of several ends that pass the checksum, this one holds.
+IBAN_LENGTHS = {
+    c[:2]: int(c[2:])
+    for c in (
+        "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 "
+        "FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 "
+        "MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 "
+        "SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+    ).split()
 }
 CONTEXT = {
     "email": ("mail", "contact", "write"),
@@ -54,15 +65,52 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), n), F.lit(0), add) % 10 == 0
 
 
-def _mod97(account: Column) -> Column:
-    """True if the characters (A-Z, 0-9) of an account number leave 1 at division by 97, the first four moved to its end."""
-    turned = F.concat(F.substring(account, F.lit(5), F.length(account)), F.substring(account, 1, 4))
+def _account(run: Column) -> Column:
+    """The part of a run, from its start to the end of a word, that has 15 to 34 characters (A-Z, 0-9) and leaves 1 at division
+    by 97, the first four moved to its end: that of the country's length, or else the longest; null without any."""
 
     def step(rest: Column, i: Column) -> Column:
-        code = F.ascii(F.substring(turned, i, F.lit(1)))
+        code = F.ascii(F.substring(run, i, F.lit(1)))
         return F.when(code >= 65, rest * 100 + code - 55).otherwise(rest * 10 + code - 48) % 97
 
-    return F.aggregate(F.sequence(F.lit(1), F.length(turned)), F.lit(0), step) == 1
+    head = F.aggregate(F.sequence(F.lit(1), F.lit(4)), F.lit(0), step)
+    lengths = F.create_map(*[F.lit(x) for pair in IBAN_LENGTHS.items() for x in pair])
+    own = F.coalesce(F.try_element_at(lengths, F.substring(run, 1, 2)), F.lit(0))
+
+    def end(s: Column, i: Column) -> Column:
+        code = F.ascii(F.substring(run, i, F.lit(1)))
+        rest, n = F.when(code == 32, s["rest"]).otherwise(step(s["rest"], i)), s["n"] + F.when(code == 32, 0).otherwise(1)
+        last = code.between(48, 90) & F.substring(run, i + 1, F.lit(1)).isin("", " ")
+        holds = last & n.between(15, 34) & ((rest * 1_000_000 + head) % 97 == 1)
+        return F.struct(
+            rest.alias("rest"),
+            n.alias("n"),
+            F.when(holds & ~s["sure"], i).otherwise(s["end"]).alias("end"),
+            (s["sure"] | holds & (n == own)).alias("sure"),
+        )
+
+    zero = F.struct(F.lit(0).alias("rest"), F.lit(4).alias("n"), F.lit(0).alias("end"), F.lit(False).alias("sure"))
+    found = F.aggregate(F.sequence(F.lit(5), F.length(run)), zero, end, lambda s: s["end"])
+    return F.substring(run, F.lit(1), F.nullif(found, F.lit(0)))
+
+
+def _apart(pairs: Column) -> Column:
+    """pairs (value, start), in order of start, without those that start before the last one left has ended."""
+
+    def within(block: Column, free: Column) -> Column:
+        return F.aggregate(
+            block,
+            F.struct(free.alias("free"), F.array().cast("array<struct<value:string,start:bigint>>").alias("out")),
+            lambda s, x: F.when(x["start"] < s["free"], s).otherwise(F.struct((x["start"] + F.length(x["value"])).alias("free"), F.concat(s["out"], F.array(x)).alias("out"))),
+        )
+
+    def add(s: Column, block: Column) -> Column:
+        more = within(block, s["free"])
+        return F.struct(more["free"].alias("free"), F.concat(s["out"], F.array(more["out"])).alias("out"))
+
+    blocks = F.transform(F.sequence(F.lit(0), F.floor(F.size(pairs) / BLOCK).cast("int")), lambda k: F.slice(pairs, k * BLOCK + 1, F.lit(BLOCK)))
+    zero = F.struct(F.lit(0).cast("bigint").alias("free"), F.array().cast("array<array<struct<value:string,start:bigint>>>").alias("out"))
+    return F.flatten(F.aggregate(blocks, zero, add)["out"])
 
 
 def _confirmed(kind: str, found: Column) -> Column:
@@ -74,9 +122,6 @@ def _confirmed(kind: str, found: Column) -> Column:
         return F.when(F.length(digits).between(12, 19), _luhn(digits)).otherwise(False)
     if kind == "phone":
         return F.length(digits).between(9, 15)
-    if kind == "iban":
-        account = F.replace(found, F.lit(" "))
-        return F.when(F.length(account).between(15, 34), _mod97(account)).otherwise(False)
     return F.lit(True)
 
 
@@ -110,8 +155,9 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
 
     Code points, end exclusive. Null text counts as empty; a text without any has an empty array; repeated rows are
     treated alike; other columns of docs are not read. Each kind is matched leftmost without overlaps of its own kind,
-    matches that fail their check are dropped and not tried again; spans of different kinds may overlap. The score of a
-    confirmed span is SCORE, and NEAR more where a context word of its kind stands within REACH characters.
+    matches that fail their check are dropped and not tried again, but for IBANs, which are tried from every word and to
+    the end of every word; spans of different kinds may overlap. The score of a confirmed span is SCORE, and NEAR more
+    where a context word of its kind stands within REACH characters.
     """
     text = text_or_empty(text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"))
@@ -119,7 +165,7 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ki
         pattern = PATTERNS[kind]
         tried = F.contains("text", F.lit(NEEDS[kind])) if kind in NEEDS else F.col("text").rlike("[0-9]")
         none = F.array().cast("array<string>")
-        rows = rows.withColumn(f"_{kind}", F.when(tried, F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).otherwise(none))
+        rows = rows.withColumn(f"_{kind}", F.when(tried, F.regexp_extract_all("text", F.lit(pattern), F.lit(int(kind == "iban")))).otherwise(none))
     return rows.select("doc_id", F.array_sort(F.concat(*[_spans_of(k) for k in kinds])).alias("found"))
 
 
@@ -141,9 +187,12 @@ def _spans_of(kind: str) -> Column:
             (F.lit(SCORE) + F.when(around.rlike(near), F.lit(NEAR)).otherwise(F.lit(0.0))).alias("score"),
         )
 
-    starts = _starts(F.split("text", PATTERNS[kind], -1), found)
-    pairs = F.zip_with(found, starts, lambda value, start: F.struct(value.alias("value"), start.alias("start")))
-    spans = F.transform(F.filter(pairs, lambda x: _confirmed(kind, x["value"])), lambda x: span(x["value"], x["start"]))
+    heads = F.transform(found, lambda x: F.substring(x, 1, 4)) if kind == "iban" else found
+    starts = _starts(F.split("text", PATTERNS[kind], -1), heads)
+    values = F.transform(found, _account) if kind == "iban" else found
+    pairs = F.zip_with(values, starts, lambda value, start: F.struct(value.alias("value"), start.alias("start")))
+    confirmed = F.filter(pairs, lambda x: x["value"].isNotNull() & _confirmed(kind, x["value"]))
+    spans = F.transform(_apart(confirmed) if kind == "iban" else confirmed, lambda x: span(x["value"], x["start"]))
     none = F.array().cast("array<struct<start:bigint,rank:int,kind:string,end:bigint,value:string,score:double>>")
     return F.when(F.size(found) > 0, spans).otherwise(none)
 
