@@ -54,45 +54,78 @@ def time_of(words: Column, target: Column, slope: Column) -> Column:
     return F.when(slope == 0, part).otherwise((root - (1 - slope)) / (2 * slope))
 
 
-def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, cut: bool = True, carry: str | None = None) -> DataFrame:
-    """One row per row of docs, range-sorted by training time: doc_id, size, source, source_size, target, taken, copies,
-    first_time, second_time, and the column named in carry.
+def _source_name(source: Column) -> Column:
+    return F.concat(F.when(source.isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce(source, F.lit("")))
 
-    Null text has size 0. Null sources form one source of their own, last in order. taken: words that the mix takes of
-    the document. With cut, the document at which a source meets its target counts in part, so that the source's taken
-    words are its target, rounded. Without, documents count whole or not at all, by whether their middle lies below the
-    target. A document of size 0 is taken with no words if its place lies below the target. Documents that the mix
-    leaves out have no time and come last. Rows that agree in id and text can't be told apart; an empty table gives none.
-    """
+
+def _order_key(doc_id: Column, seed: int) -> Column:
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))).cast("binary"))
+
+
+def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed: int, carry: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, _key, _named, carry, the source's row of source_targets, and _before: the words before the row in
+    its source's order. Rows of one key and size stand in order of carry."""
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
-    key = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary"))
-    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), key.alias("_key"), *([carry] if carry else []))
-    slim = stash(slim.withColumn("_named", F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce("source", F.lit("")))).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS)))
+    slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), _order_key(F.col(id_col), seed).alias("_key"), *carry)
+    slim = stash(slim.withColumn("_named", _source_name(F.col("source"))).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS)))
     targets = source_targets(slim.groupBy("source", "_named").agg(F.sum("size").alias("source_size")).drop("_named"))
-    targets = targets.withColumn("_named", F.concat(F.when(F.col("source").isNull(), F.lit("1")).otherwise(F.lit("0")), F.coalesce("source", F.lit("")))).drop("source")
-    rows = running_total(slim, ["_named"], "_bucket", ["_key", "size"], "size", "_before").join(targets, "_named")
-    target, size, before = F.col("target"), F.col("size"), F.col("_before")
+    targets = targets.withColumn("_named", _source_name(F.col("source"))).drop("source")
+    return running_total(slim, ["_named"], "_bucket", ["_key", "size", *carry], "size", "_before").join(targets, "_named")
+
+
+def _taken(rows: DataFrame, cut: bool) -> DataFrame:
+    """rows of _placed with first_taken, second_taken, copies, first_time, second_time; see mix_sources."""
+    target, size, first = F.col("target"), F.col("size"), F.col("_before")
+    second = first + F.col("source_size")
     goal = F.round(target).cast("bigint")
     zero = F.lit(0).cast("bigint")
-    first, second = before, before + F.col("source_size")
     if cut:
         part = lambda start: F.greatest(F.least(goal - start, size), zero)
-        taken = part(first) + part(second)
-        copies = (F.when(first < goal, 1).otherwise(0) + F.when(second < goal, 1).otherwise(0)).cast("int")
+        below = lambda start: start < goal
     else:
-        whole = lambda start: F.when(start + size / 2 < target, 1).otherwise(0)
-        copies = (whole(first) + whole(second)).cast("int")
-        taken = size * copies
-    rows = rows.withColumn("taken", taken).withColumn("copies", copies)
+        part = lambda start: F.when(below(start), size).otherwise(zero)
+        below = lambda start: start + size / 2 < target
+    copies = (F.when(below(first), 1).otherwise(0) + F.when(below(second), 1).otherwise(0)).cast("int")
+    rows = rows.withColumn("copies", copies).withColumn("first_taken", part(first)).withColumn("second_taken", part(second))
     reached = lambda start, n: F.when(F.col("copies") >= n, time_of(start, target, F.col("slope")))
-    out = rows.select("doc_id", "size", "source", "source_size", "target", "taken", "copies", reached(first, 1).alias("first_time"), reached(second, 2).alias("second_time"), "_key", *([carry] if carry else []))
+    return rows.withColumn("first_time", reached(first, 1)).withColumn("second_time", reached(second, 2))
+
+
+def _each_copy(rows: DataFrame) -> DataFrame:
+    """A row for each copy of rows of _taken, range-sorted by training time: copy (1 or 2), words, time."""
+    copy = lambda n, words, time: F.struct(F.lit(n).alias("copy"), F.col(words).alias("words"), F.col(time).alias("time"))
+    both = F.array(copy(1, "first_taken", "first_time"), copy(2, "second_taken", "second_time"))
+    return rows.where("copies > 0").withColumn("_copy", F.explode(F.slice(both, F.lit(1), F.col("copies")))).select("*", "_copy.*").orderBy("time", "_key", "copy")
+
+
+def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, cut: bool = True) -> DataFrame:
+    """One row per row of docs, range-sorted by training time: doc_id, size, source, source_size, target, taken, copies,
+    first_time, second_time.
+
+    Null text has size 0. Null sources form one source of their own, last in order. taken: words that the mix takes of
+    the document. With cut, the document at which a source meets its target counts in part, so that the source's taken
+    words are its target, rounded. Without, documents count whole or not at all, by whether their middle lies below the
+    target. A document of size 0 is taken with no words if its place lies below the target. Documents that the mix
+    leaves out have no time and come last. Rows that agree in id and text can't be told apart; an empty table gives none.
+    """
+    rows = _taken(_placed(docs, id_col, text_col, source_col, seed), cut)
+    out = rows.select("doc_id", "size", "source", "source_size", "target", (F.col("first_taken") + F.col("second_taken")).alias("taken"), "copies", "first_time", "second_time", "_key")
     return out.orderBy(F.col("first_time").asc_nulls_last(), "_key").drop("_key")
 
 
+def mix_schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, cut: bool = True) -> DataFrame:
+    """The curriculum: one row per copy that mix_sources takes, range-sorted by training time: doc_id, source, copy, words, time."""
+    return _each_copy(_taken(_placed(docs, id_col, text_col, source_col, seed), cut)).select("doc_id", "source", "copy", "words", "time")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_schedule(documents(spark, sf_dir))
+
+
 SQL = rf"""
 WITH d AS (SELECT doc_id, source, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k,
     CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM documents),
@@ -114,13 +147,16 @@ FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """docs as the mix takes them: each row as often as mix_sources, without cuts, copies it (0 to MOST times); its columns as
-    they are. Rows that agree in id and text share their copies evenly."""
-    mixed = mix_sources(docs.withColumn("_raw", F.xxhash64(F.col(text_col))), id_col, text_col, source_col, seed, cut=False, carry="_raw")
-    taken = mixed.groupBy(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), "_raw").agg(F.sum("copies").alias("_copies"), F.count(F.lit(1)).alias("_rows"))
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_raw", F.xxhash64(F.col(text_col)))
-    place = F.row_number().over(Window.partitionBy("_id", "_raw").orderBy("_id"))  # sorted so by the join already
-    placed = keyed.join(taken.where("_copies > 0"), ["_id", "_raw"]).withColumn("_place", place)
-    share = lambda k: F.floor(F.col("_copies") * k / F.col("_rows"))
-    copies = (share(F.col("_place")) - share(F.col("_place") - 1)).cast("int")
-    return placed.withColumn("_n", copies).where("_n > 0").select(*docs.columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_copy")).drop("_copy")
+    """docs as the mix takes them: a row for each copy that mix_sources, without cuts, takes (0 to MOST of a row), range-sorted
+    by the copy's training time; its columns as they are."""
+    raw = F.xxhash64(F.col(text_col))
+    same = ["_key", "_named", "_raw"]
+    # rows that agree in these follow one another in their source's order, so the first one's place gives them all
+    groups = _placed(docs.withColumn("_raw", raw), id_col, text_col, source_col, seed, carry=("_raw",)).groupBy(*same)
+    groups = groups.agg(F.min("_before").alias("_least"), *[F.min(c).alias(f"_{c}") for c in ("size", "source_size", "target", "slope")])
+    groups = groups.where("_least + _size / 2 < _target")
+    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), _order_key(F.col(id_col), seed).alias("_key"), _source_name(F.col(source_col)).alias("_named"), raw.alias("_raw"))
+    place = F.row_number().over(Window.partitionBy(*same).orderBy(*same))  # sorted so by the join already
+    rows = keyed.join(groups, same).withColumn("_before", F.col("_least") + (place - 1) * F.col("_size"))
+    rows = rows.select("_doc", "_key", "_before", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "slope")])
+    return _each_copy(_taken(rows, cut=False)).select("_doc.*")

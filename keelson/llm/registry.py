@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_binary_output": binary_output.op2_binary_output,
         "op3_pii": pii.op3_pii,
         "op4_mixing": mixing.op4_mixing,
+        "op4_schedule": mixing.op4_schedule,
         "op5_repeats": repeats.op5_repeats,
         "op6_packing": packing.op6_packing,
         "op7_fingerprints": fingerprints.op7_fingerprints,
