@@ -9,6 +9,8 @@ weighted by cosine.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -20,7 +22,8 @@ from .common import documents, text_or_empty
 SAMPLE = 2048
 TERMS, DIMENSIONS, NEIGHBOURS, POWER = 4096, 48, 15, 8
 THRESHOLD = 0.7
-#: Documents and bytes taken at once; a longer text goes in blocks of that size, whose counts are added.
+#: Documents and bytes taken at once; a longer text goes in blocks of at most that size, cut behind white space. Their counts
+#: are added, and their distinct words merged.
 ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 1 << 21
 _EXTRA = 24
 _BUCKETS = 16
@@ -32,14 +35,27 @@ _CLASS[:33] = 4
 _CLASS[10] = _CLASS[13] = 5
 for _i, _c in enumerate(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"):
     _CLASS[_c] = 6 + _i
+_BLANKS = (9, 10, 11, 12, 13, 32)
 _BLANK = np.zeros(256, dtype=bool)
-_BLANK[[9, 10, 11, 12, 13, 32]] = True
+_BLANK[list(_BLANKS)] = True
 _POWERS = np.cumprod(np.full(64, 0x9E3779B97F4A7C15, dtype=np.uint64))
 _LETTER = np.random.default_rng(7).integers(1, 2**63, 256, dtype=np.uint64)
 
 
-def _counts(data: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
-    """Counts of terms, n rows: data are the bytes of blocks that each end in a newline, doc the row of each byte."""
+def _blocks(text: bytes) -> Iterator[bytes]:
+    """text in blocks; only a word longer than a block is cut."""
+    at = 0
+    while at < len(text):
+        end = at + BYTES_AT_ONCE
+        if end < len(text):
+            end = max(text.rfind(blank, at, end) for blank in _BLANKS) + 1 or end
+        yield text[at:end]
+        at = end
+
+
+def _counts(data: np.ndarray, doc: np.ndarray, n: int, words: dict[int, list[np.ndarray]]) -> np.ndarray:
+    """Counts of terms, n rows: data are the bytes of blocks that each end in a newline, doc the row of each byte. The hashes
+    of the distinct words of rows in words are added there and not counted."""
     out = np.zeros((n, TERMS))
     if not len(data):
         return out
@@ -65,7 +81,11 @@ def _counts(data: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
             out[:, TERMS - 1 - k] += np.bincount(row[step:][same], minlength=n)
         order = np.lexsort((hashed, row))
         first = np.concatenate(([True], (hashed[order][1:] != hashed[order][:-1]) | (row[order][1:] != row[order][:-1])))
-        out[:, TERMS - 4] += np.bincount(row[order][first], minlength=n)
+        hashed, once = hashed[order][first], row[order][first]
+        out[:, TERMS - 4] += np.bincount(once, minlength=n)
+        for r, found in words.items():
+            found.append(hashed[once == r])
+            out[r, TERMS - 4] = 0
         out[:, TERMS - 5] += np.bincount(row, minlength=n)
     return out
 
@@ -74,6 +94,7 @@ def features(texts: list[bytes]) -> np.ndarray:
     """Unweighted term vectors: roots of the terms' shares; zero for texts without words."""
     out = np.zeros((len(texts), TERMS))
     blocks: list[tuple[int, bytes]] = []
+    words_of: dict[int, list[np.ndarray]] = {i: [] for i, text in enumerate(texts) if len(text) > BYTES_AT_ONCE}
     size = 0
 
     def flush():
@@ -83,16 +104,18 @@ def features(texts: list[bytes]) -> np.ndarray:
             rows = sorted({i for i, _ in blocks})
             local = {i: k for k, i in enumerate(rows)}
             doc = np.repeat([local[i] for i, _ in blocks], [len(b) + 1 for _, b in blocks])
-            out[rows] += _counts(data, doc, len(rows))
+            out[rows] += _counts(data, doc, len(rows), {local[i]: words_of[i] for i in rows if i in words_of})
         blocks, size = [], 0
 
     for i, text in enumerate(texts):
-        for at in range(0, len(text), BYTES_AT_ONCE):
-            blocks.append((i, text[at : at + BYTES_AT_ONCE]))
-            size += len(blocks[-1][1])
+        for block in _blocks(text):
+            blocks.append((i, block))
+            size += len(block)
             if size >= BYTES_AT_ONCE:
                 flush()
     flush()
+    for i, found in words_of.items():
+        out[i, TERMS - 4] = len(np.unique(np.concatenate(found))) if found else 0
     words = out[:, TERMS - 5].copy()
     some = words > 0
     share = out[:, TERMS - 4] / np.maximum(words, 1)

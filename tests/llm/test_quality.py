@@ -54,6 +54,20 @@ def test_blocks_add_up():
     assert np.abs(whole[:-24] - part[:-24]).max() < 0.01
 
 
+def test_distinct_words_of_a_long_text_are_those_of_the_whole(monkeypatch):
+    rng = np.random.default_rng(5)
+    vocabulary = [f"word{k}".encode() for k in range(40_000)]
+    long = b" ".join(vocabulary[k] for k in rng.integers(0, len(vocabulary), 700_000))
+    assert len(long) > 2 * quality.BYTES_AT_ONCE
+    texts = [b"short one", long, b"", long[:1000]]
+    got = quality.features(texts)
+    monkeypatch.setattr(quality, "BYTES_AT_ONCE", 1 << 30)
+    want = quality.features(texts)
+    tent = slice(quality.TERMS - 24, quality.TERMS - 8)
+    assert np.array_equal(got[:, tent], want[:, tent])
+    assert np.array_equal(got[[0, 2, 3]], want[[0, 2, 3]])
+
+
 def test_odd_rows(spark):
     rows = [(i + 20 * k if i is not None else None, t, s) for k in range(8) for i, t, s in ODD]
     docs = near_name_clashes(table(spark, rows))
