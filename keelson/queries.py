@@ -166,26 +166,34 @@ _changes("dml_delete_then_insert", "nation_ref", ["delete from nation_ref where
 _changes("dml_insert_visible", "nation_ref", ["insert into nation_ref values (100, 'new', -5)", "insert into nation_ref values (101, \"it's\", 'zero')"], "n_nationkey, n_name, n_regionkey", "select * from {0} union all select 100, 'new', -5 union all select 101, 'it''s', 0")
 
 
-def _batch(name: str, write: Callable[[Table, DataFrame], object], sql: str) -> None:
-    """A write of rows made from the table's own: keys 0, 10, 20 ... moved up by 5, and names changed."""
+def _batch(name: str, source: str, key: str, changes: dict[str, tuple[str, str]], write: Callable[[Table, DataFrame], object], sql: str) -> None:
+    """A write of rows made from the table's own: keys tripled, so that some are there and others not, and columns changed
+    (as changes says, for Spark and for DuckDB)."""
+
+    def made(dialect: int) -> list[str]:
+        return [f"{key} * 3 as {n}" if n == key else f"{changes[n][dialect]} as {n}" if n in changes else n for n, _, _ in DERIVED[source][1]]
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        engine = fresh(spark, sf_dir, "nation_ref")
-        rows = derived_frame(engine.spark, sf_dir, "nation_ref")
-        moved = rows.selectExpr("n_nationkey * 3 as n_nationkey", "concat('new ', n_name) as n_name", "n_regionkey + 100 as n_regionkey")
-        table = engine.table("nation_ref")
+        engine = fresh(spark, sf_dir, source)
+        moved = derived_frame(engine.spark, sf_dir, source).selectExpr(*made(0))
+        table = engine.table(source)
         write(table, moved)
         return table.scan()
 
-    old, new = derived_sql("nation_ref"), f"(select n_nationkey * 3 as n_nationkey, 'new ' || n_name as n_name, n_regionkey + 100 as n_regionkey from {derived_sql('nation_ref')})"
+    old, new = derived_sql(source), f"(select {', '.join(made(1))} from {derived_sql(source)})"
     _QUERIES[name] = run
-    _SQL[name] = sql.format(old=old, new=new)
-
-
-_batch("dml_upsert", lambda t, rows: t.upsert(rows), "select * from {new} union all select * from {old} where n_nationkey not in (select n_nationkey from {new})")
-_batch("dml_insert_if_absent", lambda t, rows: t.insert(rows), "select * from {old} union all select * from {new} where n_nationkey not in (select n_nationkey from {old})")
-_batch("dml_update_if_present", lambda t, rows: t.update(rows), "select * from {new} where n_nationkey in (select n_nationkey from {old}) union all select * from {old} where n_nationkey not in (select n_nationkey from {new})")
-_batch("dml_delete_keys", lambda t, rows: t.delete(rows.select("n_nationkey")), "select * from {old} where n_nationkey not in (select n_nationkey from {new})")
+    _SQL[name] = sql.format(old=old, new=new, key=key)
+
+
+#: The same writes over a table of fixed size and over one that grows.
+for _suffix, _source, _key, _made in (
+    ("", "nation_ref", "n_nationkey", {"n_name": ("concat('new ', n_name)", "'new ' || n_name"), "n_regionkey": ("n_regionkey + 100",) * 2}),
+    ("_orders", "orders_ref", "o_orderkey", {"o_orderpriority": ("concat('new ', o_orderpriority)", "'new ' || o_orderpriority"), "o_totalprice_c": ("o_totalprice_c + 100",) * 2}),
+):
+    _batch(f"dml_upsert{_suffix}", _source, _key, _made, lambda t, rows: t.upsert(rows), "select * from {new} union all select * from {old} where {key} not in (select {key} from {new})")
+    _batch(f"dml_insert_if_absent{_suffix}", _source, _key, _made, lambda t, rows: t.insert(rows), "select * from {old} union all select * from {new} where {key} not in (select {key} from {old})")
+    _batch(f"dml_update_if_present{_suffix}", _source, _key, _made, lambda t, rows: t.update(rows), "select * from {new} where {key} in (select {key} from {old}) union all select * from {old} where {key} not in (select {key} from {new})")
+    _batch(f"dml_delete_keys{_suffix}", _source, _key, _made, lambda t, rows: t.delete(rows.select(*t.schema.key)), "select * from {old} where {key} not in (select {key} from {new})")
 
 
 def _line_versions(spark: SparkSession, sf_dir: str) -> DataFrame:

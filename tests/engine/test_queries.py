@@ -24,3 +24,10 @@ def test_query(spark, duck, name):
     assert sorted(frame.columns) == sorted(columns)
     got = sorted(tuple(r[c] for c in columns) for r in frame.collect())
     assert got == sorted(want.fetchall())
+
+
+@pytest.mark.parametrize("write", ["upsert", "insert_if_absent", "update_if_present", "delete_keys"])
+def test_writes_by_key_run_on_a_table_that_grows(duck, write):
+    assert "orders" in queries.oracle_sql()[f"dml_{write}_orders"]
+    rows, present = duck.execute("select count(*), count(*) filter (where o_orderkey * 3 in (select o_orderkey from orders)) from orders").fetchone()
+    assert rows > 1000 and 0 < present < rows
