@@ -1,8 +1,9 @@
-"""Token ids by the public tokenizers, with a cache of words for speed.
+"""Token ids by the public tokenizers, with the repeated work done once for each distinct string.
 
-A vocabulary's path is a parameter. Both encoders split a text into the same pieces that the library would merge one by
-one, and remember the ids of pieces they have seen. The ids are those of the library: a piece not seen yet goes through it,
-and so does every text with a character for which the split here isn't known to agree with the library's.
+A vocabulary's path is a parameter. Texts are split into words in Arrow and the words of a group of texts become a dictionary,
+so what follows costs by distinct words: they are split into the pieces that the library would merge one by one, also in
+Arrow, and only pieces not seen lately go through the library. The ids are those of the library: every string with a
+character for which the split here isn't known to agree with the library's goes through it whole.
 """
 
 from __future__ import annotations
@@ -13,14 +14,18 @@ import re
 import unicodedata
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Characters for which normalisation is lower-casing only and the classes of all libraries agree: ASCII, the Latin
 #: letters before U+0180 (without U+0130, whose lower case is two characters) and general punctuation.
 SAFE = [chr(c) for r in ((9, 11), (13, 14), (0x20, 0x7F), (0xA1, 0x130), (0x131, 0x180), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0)) for c in range(*r)]
-#: Pieces kept in a cache, and the longest piece kept.
-CACHE, LONGEST = 400_000, 48
+#: Pieces kept in a cache's younger half; when that is full it becomes the older half, and what was older goes.
+CACHE = 200_000
 #: Bytes of text split into words at once.
-AT_ONCE = 4 << 20
+AT_ONCE = 8 << 20
+#: Marks the end of a piece while words are split; not a safe character.
+_END = "\x1f"
 
 
 def _class(chars: list[str]) -> str:
@@ -30,18 +35,115 @@ def _class(chars: list[str]) -> str:
 _BLANK = re.compile(rb"[\t-\r ]")
 _LETTERS = _class([c for c in SAFE if unicodedata.category(c)[0] == "L"])
 _NUMBERS = _class([c for c in SAFE if unicodedata.category(c)[0] == "N"])
-_UNSAFE = re.compile(f"[^{_class(SAFE)}]|<\\|")
-#: The split of the vocabulary with word ends (fixed value), and the same for safe characters.
+_UNSAFE = f"[^{_class(SAFE)}]"
+#: The split of the vocabulary with word ends (fixed value), and the same for safe characters within a word.
 WORD_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-_WORD_PIECES = re.compile(rf"[{_LETTERS}]+|\n|[{_NUMBERS}]|'s|'t|'re|'ve|'m|'ll|'d|[^\s{_LETTERS}{_NUMBERS}]+")
+_WORD_PIECES = rf"('s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETTERS}{_NUMBERS}]+)"
 
-#: The split of the byte-level vocabulary (fixed value), and the same for safe characters.
+#: The split of the byte-level vocabulary (fixed value), and the same for safe characters of a word and one blank before it.
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-_BYTE_PIECES = re.compile(rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+|\s+(?!\S)|\s+")
+_BYTE_PIECES = rf"('s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+)"
+#: A blank within other white space.
+_WIDE = r"[\s\x0b\x85\p{Z}] [\s\x0b\x85\p{Z}]"
+
+
+class Ids:
+    """Lists of ids, one after the other: list i is flat[edges[i] : edges[i + 1]]."""
+
+    def __init__(self, flat: np.ndarray, edges: np.ndarray):
+        self.flat, self.edges = flat, edges
+
+    @classmethod
+    def of(cls, lists: list[bytes], dtype: np.dtype) -> Ids:
+        sizes = np.fromiter(map(len, lists), np.int64, len(lists)) // dtype.itemsize
+        return cls(np.frombuffer(b"".join(lists), dtype=dtype), np.concatenate(([0], np.cumsum(sizes))))
+
+    def take(self, index: np.ndarray) -> Ids:
+        """The lists at index, in that order."""
+        first = self.edges[:-1][index]
+        sizes = self.edges[1:][index] - first
+        edges = np.concatenate(([0], np.cumsum(sizes)))
+        return Ids(self.flat[np.repeat(first - edges[:-1], sizes) + np.arange(edges[-1])], edges)
+
+    def merged(self, edges: np.ndarray) -> Ids:
+        """Lists joined: the new list i is the old ones from edges[i] to edges[i + 1]."""
+        return Ids(self.flat, self.edges[edges])
+
+    def bytes(self) -> list[bytes]:
+        data, step = self.flat.tobytes(), self.flat.dtype.itemsize
+        edges = (self.edges * step).tolist()
+        return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
+
+
+class _Cache:
+    """Ids by piece, bounded: what wasn't asked for while CACHE others were is forgotten."""
+
+    def __init__(self, make):
+        self.make, self.young, self.old = make, {}, {}
+
+    def get(self, pieces: list[str]) -> list[bytes]:
+        young, old = self.young, self.old
+        out = list(map(young.get, pieces))
+        missed = [i for i, x in enumerate(out) if x is None]
+        for i in missed:
+            out[i] = old.get(pieces[i])
+        learnt = [i for i in missed if out[i] is None]
+        for i, ids in zip(learnt, self.make([pieces[i] for i in learnt]) if learnt else [], strict=True):
+            out[i] = ids
+        young.update((pieces[i], out[i]) for i in missed)
+        if len(young) > CACHE:
+            self.young, self.old = {}, young
+        return out
+
+
+def _distinct(found: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
+    """A list array's edges, its values as places in a dictionary, and the dictionary."""
+    edges = found.offsets.to_numpy().astype(np.int64)
+    coded = found.flatten().dictionary_encode()
+    return edges - edges[0], coded.indices.to_numpy().astype(np.int64), coded.dictionary
+
+
+def _split(words: pa.StringArray, pattern: str) -> pa.ListArray:
+    """The pieces of safe words. The list of each ends with an empty piece."""
+    return pc.split_pattern(pc.replace_substring_regex(words, pattern, rf"\1{_END}"), _END)
+
+
+def _groups(texts: list[bytes]):
+    """(texts, whether they are parts of one) of at most AT_ONCE bytes; a longer text is cut before white space."""
+    group, size = [], 0
+    for text in texts:
+        if group and size + len(text) > AT_ONCE:
+            yield group, False
+            group, size = [], 0
+        if len(text) > AT_ONCE:
+            yield list(_parts(text)), True
+            continue
+        group.append(text)
+        size += len(text)
+    if group:
+        yield group, False
+
+
+def _parts(text: bytes):
+    at = 0
+    while at < len(text):
+        blank = _BLANK.search(text, at + AT_ONCE)
+        end = blank.start() if blank else len(text)
+        yield text[at:end]
+        at = end
+
+
+def _strings(texts: list[bytes]) -> pa.StringArray:
+    """texts as strings; bytes that aren't UTF-8 become U+FFFD."""
+    try:
+        return pa.array(texts, pa.binary()).cast(pa.string())
+    except pa.ArrowInvalid:
+        return pa.array([t.decode(errors="replace") for t in texts], pa.string())
 
 
 class WordEncoder:
-    """Ids of a `tokenizers` file as little-endian unsigned 32-bit integers.
+    """Ids of a `tokenizers` file as little-endian unsigned 32-bit integers, as its encode(text, add_special_tokens=False)
+    gives them: special tokens that stand in a text are themselves.
 
     Its normaliser and split treat what stands between white space alone, so the ids of a text are those of its words.
     """
@@ -52,19 +154,21 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.words, self.pieces = _Cache(), _Cache()
         kind = json.loads(self.library.to_str())
         norms = [x["type"] for x in (kind.get("normalizer") or {}).get("normalizers", [])]
         splits = (kind.get("pre_tokenizer") or {}).get("pretokenizers", [{}])
-        self.fast = norms == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern") == {"Regex": WORD_SPLIT}
+        added = kind.get("added_tokens") or []
+        plain = all(not x["normalized"] and _BLANK.search(x["content"].encode()) is None for x in added)
+        self.fast = norms == ["NFC", "Replace", "Lowercase"] and splits[0].get("pattern") == {"Regex": WORD_SPLIT} and plain
         if self.fast:  # the same merges for pieces that are normalised and split already, with blanks between them
+            self.unsafe = "|".join([_UNSAFE, *[re.escape(x["content"]) for x in added]])
             kind["normalizer"] = kind["post_processor"] = None
+            kind["added_tokens"] = []
             splits[0] = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
             self.merger = Tokenizer.from_str(json.dumps(kind))
-            self.merger.encode_special_tokens = True
+            self.pieces = _Cache(self._merged)
 
-    def _ids(self, texts: list[str]) -> list[bytes]:
+    def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, dtype=self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _merged(self, pieces: list[str]) -> list[bytes]:
@@ -77,89 +181,41 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text (UTF-8), as bytes."""
         if not self.fast:
-            return self._ids([t.decode() for t in texts])
+            return self._plain([t.decode(errors="replace") for t in texts])
         out: list[bytes] = []
-        group: list[bytes] = []
-        size = 0
-        for text in texts:
-            if size + len(text) > AT_ONCE:
-                out += self._group(group)
-                group, size = [], 0
-            if len(text) > AT_ONCE:
-                out.append(b"".join(ids for part in _parts(text) for ids in self._group([part])))
-            else:
-                group.append(text)
-                size += len(text)
-        return out + self._group(group)
-
-    def _group(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]  # at ASCII white space; any other stays for the library
-        if new := set().union(*split).difference(self.words):
-            new = list(new)
-            self.words.learn(new, self._of_words([w.decode() for w in new]))
-        get = self.words.__getitem__
-        out = [b"".join(map(get, w)) for w in split]
-        self.words.settle()
+        for group, parts in _groups(texts):
+            edges, places, words = _distinct(pc.ascii_split_whitespace(_strings(group)))
+            made = self._of_words(words).take(places).merged(edges).bytes()
+            out += [b"".join(made)] if parts else made
         return out
 
-    def _of_words(self, words: list[str]) -> list[bytes]:
-        """The ids of words, by those of their pieces; words with a character that isn't safe go through the library."""
-        joined = "\n".join(words)
-        odd = {i for i, w in enumerate(words) if _UNSAFE.search(w)} if _UNSAFE.search(joined) else set()
-        if odd:
-            joined = "\n".join("" if i in odd else w for i, w in enumerate(words))
-        pieces = _WORD_PIECES.findall(joined.lower())  # a line end after each word but the last
-        fresh = list(set(pieces).difference(self.pieces, ("\n",)))
-        self.pieces.learn(fresh, self._merged(fresh) if fresh else [])
-        ids, out, own = self.pieces.__getitem__, [], []
-        for piece in pieces:
-            if piece == "\n":
-                out.append(b"".join(own))
-                own = []
-            else:
-                own.append(ids(piece))
-        out.append(b"".join(own))
-        self.pieces.settle()
-        if odd:
-            for i, made in zip(sorted(odd), self._ids([words[i] for i in sorted(odd)]), strict=True):
-                out[i] = made
-        return out
-
-
-def _parts(text: bytes):
-    """A long text cut at white space."""
-    at = 0
-    while at < len(text):
-        blank = _BLANK.search(text, at + AT_ONCE)
-        end = blank.start() if blank else len(text)
-        yield text[at:end]
-        at = end
-
-
-class _Cache(dict):
-    """Ids by piece. What was learnt last is all there until settled; then CACHE of the short ones stay."""
-
-    fresh: list = []
-
-    def learn(self, pieces: list, ids: list[bytes]) -> None:
-        self.update(zip(pieces, ids, strict=True))
-        self.fresh = pieces
-
-    def settle(self) -> None:
-        over = len(self) - CACHE
-        for piece in self.fresh:
-            if over > 0 or len(piece) > LONGEST:
-                del self[piece]
-                over -= 1
-        self.fresh = []
+    def _of_words(self, words: pa.StringArray) -> Ids:
+        odd = pc.match_substring_regex(words, self.unsafe)
+        edges, places, pieces = _distinct(_split(pc.utf8_lower(pc.if_else(odd, "", words)), _WORD_PIECES))
+        known = pieces.to_pylist()
+        at = pieces.index("").as_py()
+        made = self.pieces.get(known[:at] + known[at + 1 :]) if at >= 0 else self.pieces.get(known)
+        if at >= 0:
+            made.insert(at, b"")
+        found = Ids.of(made, self.dtype).take(places).merged(edges)
+        if pc.any(odd).as_py():  # their own ids come after all others
+            where = np.nonzero(odd.to_numpy(zero_copy_only=False))[0]
+            plain = Ids.of(self._plain(words.take(pa.array(where)).to_pylist()), self.dtype)
+            index = np.arange(len(words))
+            index[where] = len(words) + np.arange(len(where))
+            found = Ids(np.concatenate((found.flat, plain.flat)), np.concatenate((found.edges, found.edges[-1] + plain.edges[1:]))).take(index)
+        return found
 
 
 class ByteEncoder:
-    """Ids of a byte-level vocabulary file of ranks (`tiktoken`), as little-endian unsigned 16-bit integers if they fit."""
+    """Ids of a byte-level vocabulary file of ranks (`tiktoken`), as little-endian unsigned 16-bit integers if they fit.
+
+    A text is cut before every blank, and what stands between is split for itself: the split joins nothing across such a place
+    but where white space stands on both sides of the blank. Texts with such a place go through the library.
+    """
 
     def __init__(self, path: str, pattern: str | None = None):
         import public_tokenizers
-        import regex
         import tiktoken
 
         with open(path, "rb") as f:
@@ -168,25 +224,48 @@ class ByteEncoder:
         self.size = len(ranks)
         self.dtype = np.dtype("<u2" if len(ranks) < 2**16 else "<u4")
         self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.pieces = regex.compile(pattern)
-        self.fast = _BYTE_PIECES if pattern == public_tokenizers.PATTERN == BYTE_SPLIT else self.pieces
-        self.known: dict[str, bytes] = {}
+        self.fast = pattern == public_tokenizers.PATTERN == BYTE_SPLIT
+        self.pieces = _Cache(self._plain)
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        known, out = self.known, []
+    def _plain(self, texts: list[str]) -> list[bytes]:
         one, dtype = self.library.encode_ordinary, self.dtype
-        for text in texts:
-            ids = []
-            for piece in (self.pieces if _UNSAFE.search(text) else self.fast).findall(text):
-                got = known.get(piece)
-                if got is None:
-                    got = np.asarray(one(piece), dtype=dtype).tobytes()
-                    if len(known) < CACHE and len(piece) <= LONGEST:
-                        known[piece] = got
-                ids.append(got)
-            out.append(b"".join(ids))
+        return [np.asarray(one(t), dtype=dtype).tobytes() for t in texts]
+
+    def encode(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text (UTF-8), as bytes."""
+        if not self.fast:
+            return self._plain([t.decode(errors="replace") for t in texts])
+        out: list[bytes] = []
+        for group, parts in _groups(texts):
+            if parts:  # cut before white space of any kind: only the library knows what it joins there
+                out += self._plain([b"".join(group).decode(errors="replace")])
+                continue
+            strings = _strings(group)
+            wide = pc.match_substring_regex(strings, _WIDE)
+            # a blank in front stands for the one that splitting takes away; the first word of a text has none
+            edges, places, words = _distinct(pc.split_pattern(pc.if_else(wide, "", strings), " "))
+            first = edges[:-1]
+            starts, which = np.unique(places[first], return_inverse=True)
+            ids = self._of_words(pc.binary_join_element_wise("", words, " "))
+            bare = self._of_words(words.take(pa.array(starts)))
+            both = Ids(np.concatenate((ids.flat, bare.flat)), np.concatenate((ids.edges, ids.edges[-1] + bare.edges[1:])))
+            places[first] = len(words) + which
+            made = both.take(places).merged(edges).bytes()
+            for i in np.nonzero(wide.to_numpy(zero_copy_only=False))[0].tolist():
+                made[i] = self._plain([strings[i].as_py()])[0]
+            out += made
         return out
 
+    def _of_words(self, words: pa.StringArray) -> Ids:
+        odd = pc.match_substring_regex(words, rf"{_UNSAFE}|[\t-\r]|^ $|^$")
+        edges, places, pieces = _distinct(_split(pc.if_else(odd, "", words), _BYTE_PIECES))
+        found = Ids.of(self.pieces.get(pieces.to_pylist()), self.dtype).take(places).merged(edges)
+        where = np.nonzero(odd.to_numpy(zero_copy_only=False))[0]
+        plain = Ids.of(self.pieces.get(words.take(pa.array(where)).to_pylist()), self.dtype)
+        index = np.arange(len(words))
+        index[where] = len(words) + np.arange(len(where))
+        return Ids(np.concatenate((found.flat, plain.flat)), np.concatenate((found.edges, found.edges[-1] + plain.edges[1:]))).take(index)
+
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())
 

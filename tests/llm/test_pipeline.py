@@ -5,12 +5,11 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from keelson.llm import mixing, packing, quality
-from keelson.llm.tokens import WordEncoder, encoder, public_path
+from keelson.llm import mixing, quality
 
 from .test_native import expected_dedup
 from .test_simhash import plain_components, plain_fingerprint
-from .test_tokens import best_fit
+from .test_tokens import best_fit, plain_ids
 from .util import ODD, near_name_clashes, table
 
 SF = "/root/testdata/sf0.001"
@@ -44,10 +43,9 @@ def test_stages(spark, tmp_path):
         sizes[r.source] += r.size * copies[r.doc_id]
     for r in told:
         assert abs(sizes[r.source] - r.target) <= max(x.size for x in told if x.source == r.source)
-    tool = encoder(WordEncoder, public_path(packing.VOCABULARY))
     lengths = []
-    for r in mixed:
-        n = len(tool._ids([r.text])[0]) // 4 + 1
+    for ids in plain_ids([r.text for r in mixed]):
+        n = len(ids) // 4 + 1
         lengths += [min(2048, n - at) for at in range(0, n, 2048)]
     assert Counter(r.length for r in packed) == Counter(lengths)
     assert len({r.sequence_id for r in packed}) == best_fit(lengths, 2048)
