@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import documents, remove_path, shared_path, text_or_empty
-from .tokens import ByteEncoder, encoder, public_path
+from .tokens import ByteEncoder, encoder, public_path, row_slices
 
 LENGTH = 512
 VOCABULARY = "byte_bpe_50k.tiktoken"
@@ -103,22 +103,23 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int
         step = width * length
         first = offsets.get(TaskContext.get().partitionId(), 0)
         for batch in batches:
-            own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            doc, at, piece, n, ids = [], [], [], [], []
-            for d, text, all_ids in zip(own, texts, tool.encode(texts), strict=True):
-                all_ids += end
-                for k, begin in enumerate(range(0, len(all_ids), step)):
-                    part = all_ids[begin : begin + step]
-                    doc.append(d)
-                    at.append(first + k)
-                    piece.append(k)
-                    n.append(len(part) // width)
-                    ids.append(part)
-                first += len(text) // length + 1
-            order = permute(np.array(at, dtype=np.uint64) % np.uint64(max(size, 1)), max(size, 1), key)
-            yield pa.RecordBatch.from_pydict(
-                {"shard": pa.array(order // share, pa.int32()), "place": order, "doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()), "n_ids": pa.array(n, pa.int32()), "ids": pa.array(ids, pa.binary())}
-            )
+            for low, high in row_slices(batch.column(1)):
+                own, texts = (batch.column(c).slice(low, high - low).to_pylist() for c in (0, 1))
+                doc, at, piece, n, ids = [], [], [], [], []
+                for d, text, all_ids in zip(own, texts, tool.encode(texts), strict=True):
+                    all_ids += end
+                    for k, begin in enumerate(range(0, len(all_ids), step)):
+                        part = all_ids[begin : begin + step]
+                        doc.append(d)
+                        at.append(first + k)
+                        piece.append(k)
+                        n.append(len(part) // width)
+                        ids.append(part)
+                    first += len(text) // length + 1
+                order = permute(np.array(at, dtype=np.uint64) % np.uint64(max(size, 1)), max(size, 1), key)
+                yield pa.RecordBatch.from_pydict(
+                    {"shard": pa.array(order // share, pa.int32()), "place": order, "doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()), "n_ids": pa.array(n, pa.int32()), "ids": pa.array(ids, pa.binary())}
+                )
 
     def write(batches):
         from pyarrow import fs

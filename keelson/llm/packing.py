@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, running_total, stash, text_or_empty
-from .tokens import WordEncoder, encoder, public_path
+from .tokens import WordEncoder, encoder, public_path, row_slices
 
 CAPACITY = 2048
 VOCABULARY = "word_bpe_49k.json"
@@ -33,18 +33,19 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str
     def cut(batches):
         tool = encoder(WordEncoder, path)
         for batch in batches:
-            own, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            rows: list[tuple] = []
-            source: list[int] = []
-            for i, (doc, ids) in enumerate(zip(own, tool.encode(texts), strict=True)):
-                ids += b"\0\0\0\0"
-                for k, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    rows.append((doc, k, at // 4, len(part) // 4, zlib.crc32(part)))
-                    source.append(i)
-            columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)] if rows else [pa.array([], f.type) for f in schema]
-            rest = [batch.column(2 + j).take(pa.array(source, pa.int64())) for j in range(len(carry))]
-            yield pa.RecordBatch.from_arrays([*columns, *rest], names=[*schema.names, *[f"c_{c}" for c in carry]])
+            for first, end in row_slices(batch.column(1)):
+                part = batch.slice(first, end - first)
+                rows: list[tuple] = []
+                source: list[int] = []
+                for i, (doc, ids) in enumerate(zip(part.column(0).to_pylist(), tool.encode(part.column(1).to_pylist()), strict=True)):
+                    ids += b"\0\0\0\0"
+                    for k, at in enumerate(range(0, len(ids), 4 * capacity)):
+                        piece = ids[at : at + 4 * capacity]
+                        rows.append((doc, k, at // 4, len(piece) // 4, zlib.crc32(piece)))
+                        source.append(i)
+                columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
+                rest = [part.column(2 + j).take(pa.array(source, pa.int64())) for j in range(len(carry))]
+                yield pa.RecordBatch.from_arrays([*columns, *rest], names=[*schema.names, *[f"c_{c}" for c in carry]])
 
     read = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"), *[F.col(c).alias(f"c_{c}") for c in carry])
     types = dict(docs.dtypes)

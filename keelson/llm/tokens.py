@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 #: letters before U+0180 (without U+0130, whose lower case is two characters) and general punctuation.
 SAFE = [chr(c) for r in ((9, 11), (13, 14), (0x20, 0x7F), (0xA1, 0x130), (0x131, 0x180), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0)) for c in range(*r)]
 #: Pieces kept in a cache's younger half; when that is full it becomes the older half, and what was older goes.
-CACHE = 200_000
+CACHE = 100_000
 #: Bytes of text split into words at once.
-AT_ONCE = 8 << 20
+AT_ONCE = 4 << 20
 #: Marks the end of a piece while words are split; not a safe character.
 _END = "\x1f"
 
@@ -108,6 +108,16 @@ def _split(words: pa.StringArray, pattern: str) -> pa.ListArray:
     return pc.split_pattern(pc.replace_substring_regex(words, pattern, rf"\1{_END}"), _END)
 
 
+def row_slices(texts: pa.BinaryArray):
+    """Neighbouring rows (first, end) of AT_ONCE bytes of text or little more, a longer text with those before it."""
+    total = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    first = 0
+    while first < len(total):
+        end = min(int(np.searchsorted(total, (total[first - 1] if first else 0) + AT_ONCE)) + 1, len(total))
+        yield first, end
+        first = end
+
+
 def _groups(texts: list[bytes]):
     """(texts, whether they are parts of one) of at most AT_ONCE bytes; a longer text is cut before white space."""
     group, size = [], 0
