@@ -14,14 +14,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .errors import EngineError, quoted
-from .functions.expressions import check_names, compile_expression, failing, label
+from .functions.expressions import compile_expression, failing
 from .operators import compact as compaction
 from .operators.merge import key_columns, view
 from .operators.modify import Mode, check_rows, delete, put, tombstones
 from .plans.access import KeyRange, Point, plan_where
 from .plans.parser import parse
 from .plans.schema import Column, Kind, TableSchema, retyped
-from .plans.syntax import CreateTable, Delete, Insert, Select, Statement, Update
+from .plans.syntax import CreateTable, Delete, Insert, Name, Select, Statement, Update
 from .sources.catalog import Catalog
 from .sources.store import DELETED, Manifest, Options, SegmentStore
 
@@ -200,12 +200,10 @@ class Engine:
 
     def _select(self, s: Select) -> Result:
         table = self.table(s.table)
-        for node in s.outputs:
-            check_names(table.schema, node)
-        header = [label(node, i) for i, node in enumerate(s.outputs)]
+        values = [compile_expression(table.schema, node, strict=True)[0] for node in s.outputs]
+        header = [node.name if isinstance(node, Name) else f"col{n}" for n, node in enumerate(s.outputs, 1)]
         rows = table.range(plan_where(table.schema, s.where))
-        outputs = [compile_expression(table.schema, node)[0].alias(name) for node, name in zip(s.outputs, header, strict=True)]
-        return Result(header=header, frame=rows.select(*outputs))
+        return Result(header=header, frame=rows.select(*[v.alias(n) for v, n in zip(values, header, strict=True)]))
 
     def _update(self, s: Update) -> Result:
         table = self.table(s.table)

@@ -41,17 +41,20 @@ def _truth(value: Typed) -> Column:
     return F.length(column) > 0 if kind is Kind.TEXT else column != 0
 
 
-def compile_expression(schema: TableSchema, node: Node) -> Typed:
+def compile_expression(schema: TableSchema, node: Node, strict: bool = False) -> Typed:
+    """strict: a name that isn't a column is refused now and not where a row evaluates it. A list's items aren't compiled."""
     match node:
         case Name(name):
             found = schema.column(name)
+            if found is None and strict:
+                raise EngineError(f"no such column {quoted(name)}")
             if found is None:
                 return failing(f"no such column {quoted(name)}"), None
             return F.col(f"`{name}`"), found.kind
         case Literal(value):
             return F.lit(value).cast(kind_of(value).spark), kind_of(value)
         case Unary(op, operand):
-            value = compile_expression(schema, operand)
+            value = compile_expression(schema, operand, strict)
             if value[1] is None:
                 return value
             if op == "not":
@@ -62,7 +65,7 @@ def compile_expression(schema: TableSchema, node: Node) -> Typed:
         case Listed():
             return failing("cannot evaluate a list of values"), None
         case Binary(op, left, right):
-            return _binary(op, compile_expression(schema, left), compile_expression(schema, right))
+            return _binary(op, compile_expression(schema, left, strict), compile_expression(schema, right, strict))
     raise EngineError(f"cannot evaluate {node!r}")
 
 
@@ -85,19 +88,3 @@ def _binary(op: str, left: Typed, right: Typed) -> Typed:
     if op == "/":
         return F.when(b == 0, failing("division by zero")).otherwise(F.call_function("div", a, b)), Kind.INT
     return {"+": a + b, "-": a - b, "*": a * b}[op], Kind.INT
-
-
-def check_names(schema: TableSchema, node: Node) -> None:
-    """Refuse names that aren't columns; a list's items aren't looked at."""
-    match node:
-        case Name(name) if schema.column(name) is None:
-            raise EngineError(f"no such column {quoted(name)}")
-        case Unary(_, operand):
-            check_names(schema, operand)
-        case Binary(_, left, right):
-            check_names(schema, left)
-            check_names(schema, right)
-
-
-def label(node: Node, place: int) -> str:
-    return node.name if isinstance(node, Name) else f"col{place + 1}"

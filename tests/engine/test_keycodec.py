@@ -1,25 +1,44 @@
+"""Byte keys: random tuples against Python's order of tuples, and back."""
+
+import random
+
+import pytest
 from pyspark.sql import functions as F
 
 from keelson.functions.keycodec import decode_key, encode_key
 from keelson.plans.schema import TableSchema
 
+LEAST, MOST = -(2**63), 2**63 - 1
+
+
+def drawn(seed, n=250):
+    """Rows of an integer and two strings that share prefixes, bytes near the codec's own, and each other's ends."""
+    rng = random.Random(seed)
+    number = lambda: rng.choice([LEAST, MOST, rng.randint(LEAST, MOST), rng.randint(-300, 300)])
+    text = lambda: "".join(rng.choice("\x00\x01\x02\x7faz߿\U0001f600") for _ in range(rng.randrange(5)))
+    return [(number(), text(), text()) for _ in range(n)]
 
-def test_bytes_order_as_keys(spark):
-    ints = [-(2**63), -1000, -1, 0, 1, 1000, 2**63 - 1]
-    texts = ["", "a", "ab", "abc", "b", "b\x00", "b\x01", "b\x01x", "c", "é", "\x00", "\x01\x00"]
-    schema = TableSchema.of("t", "i int64, s string", "i, s")
-    rows = [(i, s) for i in ints for s in texts]
-    got = spark.createDataFrame(rows, "i long, s string").select("i", "s", encode_key(schema).alias("key")).collect()
-    assert [(r.i, r.s) for r in sorted(got, key=lambda r: bytes(r.key))] == sorted(rows, key=lambda r: (r[0], r[1].encode()))
-    one = spark.createDataFrame([(1, "a\x00\x01")], "i long, s string").select(F.hex(encode_key(schema))).first()[0]
-    assert one == "01" + "8000000000000001" + "02" + "61" + "0101" + "0102" + "00" + "00"
+
+@pytest.mark.parametrize("key", ["n, s, r", "s, n, r", "r, s, n"])
+def test_bytes_order_as_keys(spark, key):
+    schema = TableSchema.of("t", "n int64, s string, r string", key)
+    rows = drawn(len(key) + ord(key[0]))
+    got = spark.createDataFrame(rows, schema.struct()).select("n", "s", "r", encode_key(schema).alias("key")).collect()
+    own = lambda row: tuple(v if isinstance(v, int) else v.encode() for v in (row["nsr".index(c)] for c in key.split(", ")))
+    assert [own(r[:3]) for r in sorted(got, key=lambda r: bytes(r.key))] == sorted(map(own, rows))
 
 
 def test_keys_come_back(spark):
-    schema = TableSchema.of("t", "i int64, s string, r string", "s, i, r")
-    rows = [(i, s, r) for i in (-(2**63), -1, 0, 2**63 - 1) for s in ("", "a", "b\x00\x01", "\x01\x01\x02", "é") for r in ("", "00", "\x00")]
+    schema = TableSchema.of("t", "n int64, s string, r string", "s, n, r")
+    rows = drawn(5)
     frame = spark.createDataFrame(rows, schema.struct()).withColumn("key", encode_key(schema))
-    got = frame.select(*[c.alias(n) for n, c in decode_key(schema, F.col("key")).items()]).select("i", "s", "r").collect()
-    assert [tuple(r) for r in got] == rows
-    other = TableSchema.of("u", "i int64", "i")
-    assert frame.select(decode_key(other, F.col("key"))["i"]).distinct().collect()[0][0] is None
+    assert [tuple(r) for r in frame.select(*[decode_key(schema, F.col("key"))[n].alias(n) for n in "nsr"]).collect()] == rows
+    other = TableSchema.of("u", "n int64", "n")
+    assert frame.select(decode_key(other, F.col("key"))["n"]).distinct().collect()[0][0] is None
+
+
+def test_layout(spark):
+    """A tag for each kind, integers with the sign turned, strings with escaped low bytes and an end (fixed values)."""
+    schema = TableSchema.of("t", "n int64, s string", "n, s")
+    key = spark.createDataFrame([(-2, "\x01q\x00")], "n long, s string").select(encode_key(schema)).first()[0]
+    assert bytes(key) == b"\x01" + (2**63 - 2).to_bytes(8, "big") + b"\x02" + b"\x01\x02q\x01\x01" + b"\x00" + b"\x00"

@@ -9,135 +9,143 @@ from keelson.plans.access import KeyRange
 from keelson.plans.schema import TableSchema
 from keelson.sources.store import Manifest, Segment, SegmentStore
 
-KV = TableSchema.of("kvs", "k string, v string", "k")
+BOX = TableSchema.of("box", "shelf string, tag string", "shelf")
 
 
 def live(table):
-    return {r.k: r.v for r in table.scan().collect()}
+    return {r.shelf: r.tag for r in table.scan().collect()}
 
 
 def test_write_modes(db):
-    t = db.create(KV)
-    assert t.insert([("k", "1")]) == 1 and t.insert([("k", "2")]) == 0
-    assert t.update([("k", "3")]) == 1 and t.update([("absent", "x")]) == 0
-    assert live(t) == {"k": "3"}
-    assert t.upsert([("k", "4"), ("n", "5")]) == 2 and t.get("k") == ("k", "4") and t.get("zz") is None
-    assert t.delete(["k", "zz"]) == 1 and t.delete([("k",)]) == 0 and live(t) == {"n": "5"}
-
-
-def test_last_write_wins_and_reopening(make):
-    t = make().create(KV)
-    for k, v in (("a", "1"), ("b", "2"), ("a", "3")):
-        t.upsert([(k, v)])
-    t.delete(["b"])
-    t.upsert([("c", "4")])
-    again = make().table("kvs")
-    assert live(again) == {"a": "3", "c": "4"}
-    again.compact()
-    now = again.manifest()
-    assert not now.log and len(now.runs) == 1 and now.runs[0].rows == 3 and now.runs[0].tombstones == 1
-    again.upsert([("b", "20"), ("a", "10")])
-    assert live(make().table("kvs")) == {"a": "10", "b": "20", "c": "4"}
-
-
-def test_levels_shadow(db):
-    t = db.create(KV)
-    t.upsert([("k", "v1"), ("old", "keep")])
-    t.compact()
-    t.upsert([("k", "v2")])
-    t.compact()
-    t.upsert([("k", "v3")])
-    t.delete(["old"])
-    t.compact()
-    assert live(t) == {"k": "v3"} and len(t.manifest().runs) == 3
+    """Each mode over keys of which some are there: what it lets through, and how many it says."""
+    t = db.create(BOX)
+    t.upsert([(f"s{i}", "first") for i in range(0, 20, 2)])
+    model = live(t)
+    for mode, lets in ((t.insert, lambda k: k not in model), (t.update, lambda k: k in model), (t.upsert, lambda k: True)):
+        some = {f"s{i}": mode.__name__ for i in range(5, 26, 5)}
+        through = {k: v for k, v in some.items() if lets(k)}
+        assert mode([*some.items()]) == len(through)
+        model |= through
+        assert live(t) == model
+    gone = ["s10", "s11", "s24"]
+    assert t.delete(gone) == sum(k in model for k in gone) and t.delete(gone) == 0
+    assert live(t) == {k: v for k, v in model.items() if k not in gone}
+    assert t.get("s0") == ("s0", "first") and t.get("s10") is None
+
+
+def test_newer_levels_shadow_older_ones(make):
+    """Versions of one key in the log and in three runs, and a deletion: the newest holds in every state, also when reopened."""
+    t = make().create(BOX)
+    for n in range(4):
+        t.upsert([("moving", f"version {n}"), (f"still {n}", "here")])
+        if n == 2:
+            t.delete(["still 0"])
+        if n < 3:
+            t.compact()
+        want = {"moving": f"version {n}"} | {f"still {k}": "here" for k in range(n + 1) if n < 2 or k}
+        assert live(t) == want == live(make().table("box"))
+    now = t.manifest()
+    assert [(s.rows, s.tombstones) for s in now.runs] == [(3, 1), (2, 0), (2, 0)] and len(now.log) == 1
 
 
 def test_purge_in_the_last_run(make):
-    t = make(growth=10.0).create(KV)
-    t.upsert([("a", "1"), ("b", "2")])
+    t = make(growth=8.0).create(BOX)
+    t.upsert([(f"s{i}", "x") for i in range(7)])
     t.compact()
-    t.delete(["a"])
+    t.delete(["s1", "s3", "s5"])
     t.compact()
-    now = t.manifest()
-    assert len(now.runs) == 1 and now.runs[0].rows == 1 and now.runs[0].tombstones == 0
-    assert [r.k for r in t.versions().collect()] == ["b"]
-    t.delete(["b"])
+    assert [(s.rows, s.tombstones) for s in t.manifest().runs] == [(4, 0)]
+    assert sorted(r.shelf for r in t.versions().collect()) == ["s0", "s2", "s4", "s6"]
+    t.delete([f"s{i}" for i in range(7)])
     t.compact()
     assert t.manifest().runs == () and live(t) == {}
 
 
 def test_policy_bounds_the_levels(make):
-    t = make(flush_rows=2, growth=2.0, keep=1).create(KV)
-    for i in range(6):
-        t.upsert([(f"k{i}", "x"), (f"j{i}", "y")])
+    t = make(flush_rows=3, growth=2.0, keep=1).create(BOX)
+    for i in range(5):
+        t.upsert([(f"{c}{i}", "x") for c in "pqrs"])
         t.compact()
     now = t.manifest()
-    assert len(now.runs) <= 4 and len(live(t)) == 12
+    assert len(now.runs) <= 3 and len(live(t)) == 20 and not now.log
+    assert all(a.rows * 2 < b.rows for a, b in zip(now.runs, now.runs[1:], strict=False))
     assert set(t.store.files.names(f"{t.store.folder}/segments")) == {s.path for s in now.segments}
-    t.upsert([("one", "x")])
-    t.compact()
-    assert len(t.manifest().log) == 1  # one key is below the size of a flush
-    t.upsert([("one", "y")])
-    t.compact()
-    assert len(t.manifest().log) == 2  # still one key
+    for tag in ("x", "y", "z", "w"):  # four versions of one key are one key, below the size of a flush
+        t.upsert([("p0", tag)])
+        t.compact()
+    assert len(t.manifest().log) == 4
 
 
 def test_manifests(db):
-    t = db.create(KV)
-    t.upsert([("a", "1")])
-    t.upsert([("a", "2")])
+    t = db.create(BOX)
+    for tag in ("red", "blue"):
+        t.upsert([("s1", tag)])
     store: SegmentStore = t.store
-    with pytest.raises(ConflictError):
-        store.commit(Manifest(2))
-    with pytest.raises(ConflictError):
-        store.commit(Manifest(1))
-    assert [r.v for r in t.as_of(1).collect()] == ["1"]
+    for stale in (1, 2):
+        with pytest.raises(ConflictError):
+            store.commit(Manifest(stale))
+    assert [r.tag for r in t.as_of(1).collect()] == ["red"]
     store.files.create(store._manifest_path(3), "torn")
-    assert store.live().version == 2 and live(t) == {"a": "2"}
-    t.upsert([("a", "3")])
-    assert store.live().version == 4 and live(t) == {"a": "3"}
+    assert store.live().version == 2 and live(t) == {"s1": "blue"}
+    t.upsert([("s1", "green")])
+    assert store.live().version == 4 and live(t) == {"s1": "green"}
     with pytest.raises(EngineError):
         t.as_of(3)
     text = Manifest(9, (Segment("x", 1, 0),)).to_text()
     assert Manifest.from_text(text).log[0].rows == 1 and Manifest.from_text(text.replace("9", "8", 1)) is None
 
 
+def test_two_writers_of_one_version(db):
+    """The second of two that commit one version is refused, and the file is the first one's, whole."""
+    t = db.create(BOX)
+    t.upsert([("s1", "red")])
+    path = t.store._manifest_path(2)
+    assert t.store.files.create(path, "one") and not t.store.files.create(path, "two")
+    assert t.store.files.read(path) == "one" and t.store.files.names(f"{t.store.folder}/manifest") == [f"{v:020d}.json" for v in (1, 2)]
+
+
 def test_readers_keep_their_version(db):
-    t = db.create(KV)
-    t.upsert([("a", "1")])
+    t = db.create(BOX)
+    t.upsert([("s1", "red")])
     before = t.scan()
-    t.upsert([("a", "2")])
+    t.upsert([("s1", "blue")])
     t.compact()
-    assert [r.v for r in before.collect()] == ["1"]
+    assert [r.tag for r in before.collect()] == ["red"]
 
 
 def test_loads(db, spark):
-    t = db.load(KV, spark.createDataFrame([("b", "2"), ("a", "1")], "k string, v string"))
-    assert [r.k for r in t.scan().collect()] == ["a", "b"] and len(t.manifest().runs) == 1
-    two = TableSchema.of("two", "k string, v string", "k")
+    shape = "shelf string, tag string"
+    t = db.load(BOX, spark.createDataFrame([("s2", "x"), ("s1", "y")], shape))
+    assert [r.shelf for r in t.scan().collect()] == ["s1", "s2"] and len(t.manifest().runs) == 1
+    two = TableSchema.of("two", shape, "shelf")
     with pytest.raises(EngineError, match="duplicate primary key"):
-        db.load(two, spark.createDataFrame([("b", "2"), ("b", "1")], "k string, v string"))
+        db.load(two, spark.createDataFrame([("s2", "x"), ("s2", "y")], shape))
     with pytest.raises(EngineError, match="null"):
-        t.upsert(spark.createDataFrame([("b", None)], "k string, v string"))
+        t.upsert(spark.createDataFrame([("s2", None)], shape))
     with pytest.raises(EngineError, match="no such column"):
-        t.upsert(spark.createDataFrame([("b",)], "k string"))
-    empty = db.load(TableSchema.of("none", "k string", "k"), spark.createDataFrame([], "k string"))
-    assert empty.scan().count() == 0 and empty.delete(["a"]) == 0
+        t.upsert(spark.createDataFrame([("s2",)], "shelf string"))
+    empty = db.load(TableSchema.of("none", "shelf string", "shelf"), spark.createDataFrame([], "shelf string"))
+    assert empty.scan().count() == 0 and empty.delete(["s1"]) == 0
 
 
 def test_key_ranges(db):
-    t = db.create(KV)
-    t.upsert([(k, f"{k}-val") for k in "abcde"])
-    got = lambda *request: [r.k for r in t.range(KeyRange.request(*request)).collect()]
-    assert got(">=", "b", "<=", "d") == ["b", "c", "d"]
-    assert got("<=", "d", ">=", "b") == ["d", "c", "b"]
-    assert got(">", "c", "<=", None) == ["d", "e"] and got(">=", None, "<=", None) == list("abcde")
-    assert got("<=", "zz", ">=", None) == list("edcba")
-    assert [r.k for r in t.seek("c").collect()] == ["c", "d", "e"]
-    link = db.create(TableSchema.of("link", "time int64, src string, dst string", "src, dst"))
-    link.insert([(1, "a", "m"), (2, "a", "n"), (3, "b", "x"), (4, "c", "y")])
-    assert [r.dst for r in link.range(KeyRange.request(">=", ("a",), "<=", ("a",))).collect()] == ["m", "n"]
-    assert [r.time for r in link.range(KeyRange.request("<", ("c",), ">", ("a", "m"))).collect()] == [3, 2]
+    """Every request over a small table against Python: bounds of whole keys and of prefixes, upwards and downwards."""
+    keys = [(a, b) for a in (-5, 0, 9) for b in ("", "m", "mm")]
+    t = db.create(TableSchema.of("pair", "v int64, b string, a int64", "a, b"))
+    t.upsert([(i, b, a) for i, (a, b) in enumerate(keys)])
+    holds = {"<": lambda x, y: x < y, "<=": lambda x, y: x <= y, ">": lambda x, y: x > y, ">=": lambda x, y: x >= y}
+    for first in ("<", "<=", ">", ">="):
+        for last in ("<", "<=") if first[0] == ">" else (">", ">="):
+            for x in ((0,), (0, "m"), (-6, "z"), None):
+                for y in ((9,), (9, "m"), None):
+                    if first[0] == "<":
+                        x, y = y, x
+                    want = [k for k in keys if (x is None or holds[first](k[: len(x)], x)) and (y is None or holds[last](k[: len(y)], y))]
+                    got = [(r.a, r.b) for r in t.range(KeyRange.request(first, x, last, y)).collect()]
+                    assert got == (want if first[0] == ">" else want[::-1]), (first, x, last, y)
+                    if first[0] == "<":
+                        x, y = y, x
+    assert [(r.a, r.b) for r in t.seek(0, "n").collect()] == [k for k in keys if k >= (0, "n")]
 
 
 @pytest.mark.parametrize("seed", [1, 2])
