@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, remove_path, shared_path, text_or_empty
+from .common import documents, give_back, remove_path, shared_path, text_or_empty
 from .tokens import ByteEncoder, encoder, public_path, row_slices
 
 LENGTH = 512
@@ -120,6 +120,7 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int
                 yield pa.RecordBatch.from_pydict(
                     {"shard": pa.array(order // share, pa.int32()), "place": order, "doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()), "n_ids": pa.array(n, pa.int32()), "ids": pa.array(ids, pa.binary())}
                 )
+                give_back()
 
     def write(batches):
         from pyarrow import fs

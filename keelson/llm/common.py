@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -38,6 +41,13 @@ def stash(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Return memory that Arrow and the C library hold but don't use: an executor's Python workers live as long as it does."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_or_empty(text: str | Column = "text") -> Column:
     return F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit(""))
 
@@ -65,15 +75,17 @@ def running_total(df: DataFrame, group: list[str], bucket: str, order: list, val
 
 
 def drop_rows(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """docs less _lost rows of each (doc_id, raw), where raw is the text's xxhash64; its columns as they are.
+    """docs less _lost rows of each (doc_id, raw), where raw is the text's xxhash64; its columns as they are, whatever their names.
 
-    The window needs no exchange or sort beyond the join's own.
+    A row goes through as one struct, so its columns can't meet the ones made here. The window needs no exchange or sort
+    beyond the join's own.
     """
-    keyed = docs.withColumn("_id", F.coalesce(F.col(id_col).cast("string"), F.lit(""))).withColumn("_raw", F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)))
-    lost = lost.select(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("_id"), F.coalesce("raw", F.lit(0)).alias("_raw"), "_lost")
+    name = lambda x: F.coalesce(x.cast("string"), F.lit(""))
+    whole = docs.select(F.struct("*").alias("_doc"), name(F.col(id_col)).alias("_id"), F.coalesce(F.xxhash64(F.col(text_col)), F.lit(0)).alias("_raw"))
+    lost = lost.select(name(F.col("doc_id")).alias("_id"), F.coalesce("raw", F.lit(0)).alias("_raw"), "_lost")
     place = F.row_number().over(Window.partitionBy("_id", "_raw").orderBy("_id"))
-    left = keyed.join(lost, ["_id", "_raw"], "left").withColumn("_place", place)
-    return left.where(F.col("_lost").isNull() | (F.col("_place") > F.col("_lost"))).select(*docs.columns)
+    left = whole.join(lost, ["_id", "_raw"], "left").withColumn("_place", place)
+    return left.where(F.col("_lost").isNull() | (F.col("_place") > F.col("_lost"))).select("_doc.*")
 
 
 #: Quantiles that ranges are cut at; more ranges than these are laid out evenly between neighbouring quantiles.
