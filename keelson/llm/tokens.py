@@ -21,9 +21,9 @@ import pyarrow.compute as pc
 #: letters before U+0180 (without U+0130, whose lower case is two characters) and general punctuation.
 SAFE = [chr(c) for r in ((9, 11), (13, 14), (0x20, 0x7F), (0xA1, 0x130), (0x131, 0x180), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0)) for c in range(*r)]
 #: Pieces kept in a cache's younger half; when that is full it becomes the older half, and what was older goes.
-CACHE = 100_000
+CACHE = 200_000
 #: Bytes of text split into words at once.
-AT_ONCE = 4 << 20
+AT_ONCE = 8 << 20
 #: Marks the end of a piece while words are split; not a safe character.
 _END = "\x1f"
 
