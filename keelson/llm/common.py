@@ -88,25 +88,56 @@ def drop_rows(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str) -> D
     return left.where(F.col("_lost").isNull() | (F.col("_place") > F.col("_lost"))).select("_doc.*")
 
 
-#: Quantiles that ranges are cut at; more ranges than these are laid out evenly between neighbouring quantiles.
-QUANTILES = 1024
+#: Quantiles of the ids, and even parts between two of them, whose bytes are counted to cut ranges.
+QUANTILES, PARTS = 1024, 64
 
 
-def range_place(docs: DataFrame, id_col: str, parts: int):
-    """A column function: the place (0 to parts - 1) of an id among so many ranges of about as many rows; 0 for null.
+class Ranges:
+    """Ranges of (id, tie) in order, of about as many bytes each: what place() gives never falls as ids grow, nor among
+    rows of one id as their ties do. Null ids come first, by their ties alone.
 
-    Places never fall as ids grow, and equal ids have equal places. The driver holds QUANTILES numbers at most.
+    The bytes between the edges of a grid are counted exactly, QUANTILES * PARTS numbers; a part of the grid that holds more
+    than a range is laid out evenly by id, and by tie within an id.
     """
-    n = min(parts, QUANTILES)
-    found = docs.select(F.col(id_col).cast("double").alias("x")).approxQuantile("x", [i / n for i in range(n + 1)], 1 / (4 * n)) if n > 1 else []
-    values, first = np.unique(np.array(found, dtype=np.float64), return_index=True)
-    share = first / n * parts
-
-    @F.pandas_udf("int")
-    def place(ids: pd.Series) -> pd.Series:
-        x = pd.to_numeric(ids).to_numpy(dtype=np.float64, na_value=-np.inf)
-        if len(values) < 2:
-            return pd.Series(np.zeros(len(x), dtype=np.int32))
-        return pd.Series(np.clip(np.interp(x, values, share), 0, parts - 1).astype(np.int32))
-
-    return place
+
+    def __init__(self, rows: DataFrame, target: int):
+        """rows: doc_id (long), tie (long, a hash) and size (long); read three times, so it should be cheap or stashed."""
+        known = rows.where(F.col("doc_id").isNotNull())
+        found = known.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / QUANTILES for i in range(QUANTILES + 1)], 1 / (4 * QUANTILES))
+        marks = np.unique(np.concatenate((found, np.array(found) + 1)))  # an id with many rows gets a part of its own
+        fine = [np.linspace(a, b, PARTS, endpoint=False) if b - a > 1 else [a] for a, b in zip(marks[:-1], marks[1:], strict=True)]
+        self.edges = np.unique(np.floor(np.concatenate([*fine, marks[-1:]]))) if len(marks) else np.zeros(1)
+        self.below = np.zeros(len(self.edges) + 1)
+        self.nulls, self.target = 0, target
+
+        @F.pandas_udf("int")
+        def cell(ids: pd.Series) -> pd.Series:
+            return pd.Series(self._cell(ids))
+
+        sizes = {r["cell"]: r["size"] for r in rows.groupBy(cell("doc_id").alias("cell")).agg(F.sum("size").alias("size")).collect()}
+        self.nulls = -(-(sizes.pop(-1, 0) or 0) // target)
+        for at, size in sizes.items():
+            self.below[at + 1] = size
+        self.below = np.cumsum(self.below)
+        self.count = max(1, self.nulls + -(-int(self.below[-1]) // target))
+
+    def _cell(self, ids: pd.Series) -> np.ndarray:
+        x = pd.to_numeric(ids).to_numpy(dtype=np.float64, na_value=np.nan)
+        return np.where(np.isnan(x), -1, np.clip(np.searchsorted(self.edges, x, side="right") - 1, 0, None)).astype(np.int32)
+
+    def _place(self, ids: pd.Series, ties: pd.Series) -> np.ndarray:
+        cell = self._cell(ids)
+        part = (ties.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
+        x = pd.to_numeric(ids).to_numpy(dtype=np.float64, na_value=0.0) + np.clip(part, 0, 1 - 1e-9)
+        low = self.edges[cell]
+        wide = np.append(self.edges[1:], self.edges[-1] + 1)[cell] - low
+        size = (self.below[1:] - self.below[:-1])[cell]
+        at = self.nulls + np.floor((self.below[cell] + np.clip((x - low) / wide, 0, 1) * size) / self.target)
+        return np.clip(np.where(cell < 0, np.floor(part * self.nulls), at), 0, self.count - 1).astype(np.int32)
+
+    def place(self, ids: Column, ties: Column) -> Column:
+        @F.pandas_udf("int")
+        def at(ids: pd.Series, ties: pd.Series) -> pd.Series:
+            return pd.Series(self._place(ids, ties))
+
+        return at(ids, ties)

@@ -9,26 +9,30 @@ all bytes that its strings span. Buckets are settled one by one from names alone
    place with one name holds nothing else. Only first units of places with several names stay open.
 2. For those, blocks send the hash of each of their strings, distinct ones once; the earliest of each stays.
 
-Names are pairs of 64-bit hashes. No task holds more than a block or a bucket, both of bounded size, and no group of equal
-strings is ever gathered, as blocks send one of each. (A difference cover by position would do the same, but samples
-9 places of 64 where this samples one of about 30, as README says.)
+Names are pairs of 64-bit hashes. A task holds a block, or the distinct names of one bucket while what blocks sent to it
+streams by in their order; both are bounded, whatever number of blocks share a passage. A block sends a row to each bucket
+that it has names for, so there are never more rows than names. (A difference cover by position would do the same, but
+samples 9 places of 64 where this samples one of about 30, as README says.)
 """
 
 from __future__ import annotations
 
 import hashlib
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, range_place, remove_path, shared_path, stash, text_or_empty
+from .common import Ranges, documents, give_back, remove_path, shared_path, stash, text_or_empty
 
 WIDTH, GRAM = 100, 40
 #: Bytes of text to a block and to a bucket; positions worked on at once.
 BLOCK_BYTES, BUCKET_BYTES, AT_ONCE = 4 << 20, 12 << 20, 1 << 18
+#: Files of blocks, and partitions of buckets; beyond, they hold several, one after the other.
+MOST_FILES = 20_000
 _PLACE = np.uint64((1 << 20) - 1)
 
 
@@ -147,52 +151,107 @@ def _distinct(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def _bucket(name: np.ndarray, buckets: int) -> np.ndarray:
-    return ((name >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
+    """Names are least hashes, so they crowd at the low end and are mixed again."""
+    x = name * np.uint64(0x9E3779B97F4A7C15)
+    x ^= x >> np.uint64(29)
+    x *= np.uint64(0xBF58476D1CE4E5B9)
+    return ((x >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)
 
 
 SENT = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("a", pa.binary()), ("b", pa.binary())])
 REPLY = pa.schema([("block", pa.int32()), ("bucket", pa.int32()), ("kind", pa.int32()), ("codes", pa.binary())])
+#: Kinds of replies: codes (1: an equal one stands earlier) of units and of strings; places in a message whose units stay open.
+UNITS, STRINGS, OPEN = 1, 2, 3
+
+
+def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
+    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * len(schema), schema, strict=True)], schema=schema)
 
 
 def _send(block: int, a: np.ndarray, b: np.ndarray, buckets: int) -> pa.Table:
     to = _bucket(a, buckets)
     order = np.argsort(to, kind="stable")
-    edges = np.searchsorted(to[order], np.arange(buckets + 1))
-    rows = [(block, k, a[order[x:y]].tobytes(), b[order[x:y]].tobytes()) for k, (x, y) in enumerate(zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)) if y > x]
-    return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True) if rows else [[]] * 4, SENT, strict=True)], schema=SENT)
-
-
-def _settle(table: pa.Table, kind: int) -> pa.Table:
-    """Codes for what blocks sent to a bucket: 1, an equal one stands earlier; kind 1 also 2, first but not alone with its place."""
-    order = np.argsort(table.column("block").to_numpy(), kind="stable")
-    blocks, buckets = (table.column(c).to_numpy()[order] for c in ("block", "bucket"))
-    lists = [[np.frombuffer(x[i], dtype=np.uint64) for i in order] for x in (table.column("a").to_pylist(), table.column("b").to_pylist())]
-    a, b = (np.concatenate(x) for x in lists)
-    first = _distinct(a, b)
-    codes = np.ones(len(a), dtype=np.uint8)
-    codes[first] = 0
-    if kind == 1:
-        places, where, count = np.unique(a[first], return_inverse=True, return_counts=True)
-        codes[first[count[where] > 1]] = 2
-    edges = np.cumsum([0, *map(len, lists[0])])
-    return pa.Table.from_arrays(
-        [pa.array(blocks, pa.int32()), pa.array(buckets, pa.int32()), pa.array([kind] * len(blocks), pa.int32()), pa.array([codes[x:y].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)])], schema=REPLY
-    )
+    edges = np.concatenate(([0], np.nonzero(np.diff(to[order]))[0] + 1, [len(to)])) if len(to) else np.zeros(1, dtype=np.int64)
+    a, b = a[order], b[order]
+    return _table([(block, int(to[order[x]]), a[x:y].tobytes(), b[x:y].tobytes()) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)], SENT)
+
+
+class _Bucket:
+    """The distinct names of a bucket so far, sorted, with the message and the place in it that each first stood in."""
+
+    def __init__(self):
+        self.a, self.b = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.uint64)
+        self.block, self.place = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
+
+    def take(self, blocks: list[int], a: list[bytes], b: list[bytes]) -> list[bytes]:
+        """Codes for further messages, in the order of their blocks."""
+        sizes = np.array([len(x) // 8 for x in a])
+        both = [np.concatenate((old, np.frombuffer(b"".join(new), dtype=np.uint64))) for old, new in ((self.a, a), (self.b, b))]
+        block = np.concatenate((self.block, np.repeat(blocks, sizes)))
+        place = np.concatenate((self.place, np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)))
+        order = np.lexsort((np.arange(len(block)), *both[::-1]))
+        x, y = (v[order] for v in both)
+        new = np.ones(len(x), dtype=bool)
+        new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+        codes = np.ones(len(x), dtype=np.uint8)
+        codes[order[new]] = 0
+        codes = codes[len(self.a) :].tobytes()
+        self.a, self.b, self.block, self.place = x[new], y[new], block[order[new]], place[order[new]]
+        ends = np.cumsum(sizes).tolist()
+        return [codes[e - n : e] for e, n in zip(ends, sizes.tolist(), strict=True)]
+
+    def open(self) -> list[tuple[int, bytes]]:
+        """By block: places in its message of the names that share their first half with others."""
+        same = self.a[1:] == self.a[:-1]
+        some = np.nonzero(np.concatenate(([False], same)) | np.concatenate((same, [False])))[0] if len(self.a) else np.zeros(0, dtype=np.int64)
+        some = some[np.argsort(self.block[some], kind="stable")]
+        edges = np.concatenate(([0], np.nonzero(np.diff(self.block[some]))[0] + 1, [len(some)])) if len(some) else np.zeros(1, dtype=np.int64)
+        return [(int(self.block[some[x]]), self.place[some[x:y]].astype("<i4").tobytes()) for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+
+
+def _settle(batches: Iterator[pa.RecordBatch], kind: int) -> Iterator[pa.Table]:
+    """Replies to messages that come sorted by bucket and block."""
+    now, bucket = None, _Bucket()
+
+    def close() -> pa.Table:
+        return _table([(block, now, OPEN, places) for block, places in bucket.open()], REPLY)
+
+    for batch in batches:
+        to = batch.column(1).to_numpy()
+        edges = np.concatenate(([0], np.nonzero(np.diff(to))[0] + 1, [len(to)])) if len(to) else np.zeros(1, dtype=np.int64)
+        for x, y in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True):
+            if to[x] != now:
+                if kind == UNITS:
+                    yield close()
+                now, bucket = int(to[x]), _Bucket()
+            blocks, a, b = (batch.column(c).slice(x, y - x).to_pylist() for c in (0, 2, 3))
+            yield _table([(k, now, kind, codes) for k, codes in zip(blocks, bucket.take(blocks, a, b), strict=True)], REPLY)
+        give_back()
+    if kind == UNITS:
+        yield close()
 
 
 def _codes(name: np.ndarray, chosen: np.ndarray, replies: pa.Table, kind: int, buckets: int) -> np.ndarray:
-    """The code of every item: 1 for those not sent (an equal one stands earlier in the block)."""
+    """The code of every item: 1 for those not sent (an equal one stands earlier in the block); 2 for units that stay open."""
     out = np.ones(len(name), dtype=np.uint8)
-    own = [(k, c) for k, t, c in zip(*(replies.column(c).to_pylist() for c in ("bucket", "kind", "codes")), strict=True) if t == kind]
-    answers = np.frombuffer(b"".join(c for _, c in sorted(own)), dtype=np.uint8)
-    out[chosen[np.argsort(_bucket(name[chosen], buckets), kind="stable")]] = answers
+    to = _bucket(name[chosen], buckets)
+    order = np.argsort(to, kind="stable")
+    got = sorted(zip(*(replies.column(c).to_pylist() for c in ("kind", "bucket", "codes")), strict=True))
+    own = [(k, c) for t, k, c in got if t == kind]
+    answers = np.frombuffer(b"".join(c for _, c in own), dtype=np.uint8).copy()
+    if kind == UNITS:
+        begins = dict(zip((k for k, _ in own), np.cumsum([0, *(len(c) for _, c in own)]).tolist(), strict=False))
+        for t, k, places in got:
+            if t == OPEN:
+                answers[begins[k] + np.frombuffer(places, dtype="<i4")] = 2
+    out[chosen[order]] = answers
     return out
 
 
 def _strings(block: Block, replies: pa.Table, buckets: int):
     """The units' codes with their positions, and the names, positions and chosen ones of the strings of open units."""
     a, b, first, last = block.units()
-    codes = _codes(a, _distinct(a, b), replies, 1, buckets)
+    codes = _codes(a, _distinct(a, b), replies, UNITS, buckets)
     still = codes == 2
     x, y, at = block.strings(first[still], last[still])
     return codes, first, last, x, at, _distinct(x, y), y
@@ -207,71 +266,82 @@ def _runs(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return starts[at], ends[np.concatenate((at[1:], [len(starts)])) - 1] if len(at) else ends[:0]
 
 
+DONE = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
+
+
+def _finished(table: pa.Table, replies: pa.Table, buckets: int, texts: bool) -> pa.Table:
+    """The rows of a block's documents, from all replies to it."""
+    block = Block(table)
+    codes, first, last, x, at, chosen, _ = _strings(block, replies, buckets)
+    give_back()
+    again = at[_codes(x, chosen, replies, STRINGS, buckets) == 1]
+    gone = codes == 1
+    starts, ends = _runs(np.concatenate((first[gone], again)), np.concatenate((last[gone], again)) + WIDTH)
+    low, high = np.searchsorted(starts, block.begins), np.searchsorted(starts, block.ends)
+    rows = []
+    for i, (doc, data) in enumerate(zip(block.ids, block.texts, strict=True)):
+        x, y = starts[low[i] : high[i]] - block.begins[i], ends[low[i] : high[i]] - block.begins[i]
+        edges = [0, *np.column_stack((x, y)).ravel().tolist(), len(data)]
+        kept = b"".join(data[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
+        rows.append((doc, len(data), len(data) - len(kept), len(x), hashlib.sha256(kept).hexdigest(), [[s, e] for s, e in zip(x.tolist(), y.tolist(), strict=True)], kept if texts else None))
+    return _table(rows, DONE)
+
+
 def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", texts: bool = False) -> DataFrame:
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and spans (start and end of every removed
     run, in bytes, as a list of pairs); with texts also kept, the remaining bytes.
 
-    A byte goes if a string of WIDTH bytes that covers it also starts earlier: in a smaller id or, in the same row,
-    further left. A null id is the smallest, rows of one id stand in the order of their texts' hash. Null text counts as
-    empty. Matches never cross rows. An empty table gives no rows. Texts are laid out once by blocks, as a bucketed table
-    in the shared folder, which goes when the result is there; the three passes over it don't shuffle texts again.
+    Ids are whole numbers. A byte goes if a string of WIDTH bytes that covers it also starts earlier: in a smaller id or, in
+    the same row, further left. A null id is the smallest, rows of one id stand in the order of their texts' hash. Null text
+    counts as empty. Matches never cross rows. An empty table gives no rows. Texts are laid out once by blocks, as a bucketed
+    table in the shared folder, which goes when the result is there or the work has failed; the three passes over it don't
+    shuffle texts again.
     """
     spark = docs.sparkSession
     text = text_or_empty(text_col).cast("binary")
-    facts = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)) + 1)).first()
-    total = facts[0] or 0
-    n_blocks, buckets = max(1, -(-total // BLOCK_BYTES)), max(1, -(-total // BUCKET_BYTES))
-    block_of = range_place(docs, id_col, n_blocks)
-
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
+    sizes = stash(rows.select("doc_id", "tie", (F.octet_length("text") + 1).cast("bigint").alias("size")))
+    ranges = Ranges(sizes, BLOCK_BYTES)
+    buckets = max(1, -(-ranges.count * BLOCK_BYTES // BUCKET_BYTES))
+    files, parts = min(ranges.count, MOST_FILES), min(buckets, MOST_FILES)
     name, path = f"keelson_repeats_{uuid.uuid4().hex}", shared_path(spark, "repeats")
-    laid = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text")).withColumn("block", block_of("doc_id"))
-    laid.repartition(n_blocks, "block").write.option("path", path).option("compression", "zstd").bucketBy(n_blocks, "block").format("parquet").saveAsTable(name)
-    store = spark.table(name).groupBy("block")
+    laid = rows.withColumn("block", ranges.place(F.col("doc_id"), F.col("tie"))).repartition(files, "block")
     sent = "block int, bucket int, a binary, b binary"
     replied = "block int, bucket int, kind int, codes binary"
 
     def units(key, table):
         a, b, *_ = Block(table).units()
         chosen = _distinct(a, b)
+        give_back()
         return _send(key[0].as_py(), a[chosen], b[chosen], buckets)
 
     def strings(key, table, replies):
         *_, x, _, chosen, y = _strings(Block(table), replies, buckets)
+        give_back()
         return _send(key[0].as_py(), x[chosen], y[chosen], buckets)
 
     def finish(_, table, replies):
-        block = Block(table)
-        codes, first, last, x, at, chosen, _ = _strings(block, replies, buckets)
-        again = at[_codes(x, chosen, replies, 2, buckets) == 1]
-        gone = codes == 1
-        starts, ends = _runs(np.concatenate((first[gone], again)), np.concatenate((last[gone], again)) + np.concatenate((np.full(gone.sum(), WIDTH), np.full(len(again), WIDTH))))
-        low, high = np.searchsorted(starts, block.begins), np.searchsorted(starts, block.ends)
-        rows = []
-        for i, (doc, data) in enumerate(zip(block.ids, block.texts, strict=True)):
-            x, y = starts[low[i] : high[i]] - block.begins[i], ends[low[i] : high[i]] - block.begins[i]
-            edges = [0, *np.column_stack((x, y)).ravel().tolist(), len(data)]
-            kept = b"".join(data[edges[k] : edges[k + 1]] for k in range(0, len(edges), 2))
-            rows.append((doc, len(data), len(data) - len(kept), len(x), hashlib.sha256(kept).hexdigest(), [[s, e] for s, e in zip(x.tolist(), y.tolist(), strict=True)], kept if texts else None))
-        return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), out, strict=True)], schema=out)
-
-    out = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string()), ("spans", pa.list_(pa.list_(pa.int64()))), ("kept", pa.binary())])
+        return _finished(table, replies, buckets, texts)
+
     def settled(rows: DataFrame, kind: int) -> DataFrame:
-        """One bucket to a partition."""
+        """Buckets one after the other in each partition, what blocks sent in their order."""
 
         def settle(batches):
-            got = list(batches)
-            if got:
-                yield from _settle(pa.Table.from_batches(got), kind).to_batches()
-
-        return stash(rows.repartitionById(buckets, "bucket").mapInArrow(settle, replied))
-
-    one = settled(store.applyInArrow(units, sent), 1)
-    two = settled(store.cogroup(one.groupBy("block")).applyInArrow(strings, sent), 2)
-    made = store.cogroup(one.unionAll(two).groupBy("block")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>, kept binary")
-    made = stash(made if texts else made.drop("kept"))
-    spark.sql(f"DROP TABLE {name}")
-    remove_path(spark, path)
-    return made
+            for table in _settle(batches, kind):
+                yield from table.to_batches()
+
+        return stash(rows.repartitionById(parts, F.col("bucket") % parts).sortWithinPartitions("bucket", "block").mapInArrow(settle, replied))
+
+    try:
+        laid.write.option("path", path).option("compression", "zstd").bucketBy(files, "block").format("parquet").saveAsTable(name)
+        store = spark.table(name).groupBy("block")
+        one = settled(store.applyInArrow(units, sent), UNITS)
+        two = settled(store.cogroup(one.groupBy("block")).applyInArrow(strings, sent), STRINGS)
+        made = store.cogroup(one.unionAll(two).groupBy("block")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>, kept binary")
+        return stash(made if texts else made.drop("kept"))
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        remove_path(spark, path)
 
 
 def op5_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
