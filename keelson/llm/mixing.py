@@ -22,6 +22,8 @@ SLOPES = (-0.5, 0.0, 0.5)
 SEED = 17
 #: Hexadecimal digits of the order key that name a bucket: 4096 buckets to a source.
 BUCKET_DIGITS = 3
+#: Stretches of training time that copies are counted by to give them their global positions.
+STRETCHES = 1 << 16
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -92,34 +94,43 @@ def _taken(rows: DataFrame, cut: bool) -> DataFrame:
 
 
 def _each_copy(rows: DataFrame) -> DataFrame:
-    """A row for each copy of rows of _taken, range-sorted by training time: copy (1 or 2), words, time."""
+    """A row for each copy of rows of _taken: copy (1 or 2), words, time, and position: its place among all copies by time.
+
+    Copies of one time stand by key. Stretches of time are counted and accumulated, then the copies within each.
+    """
     copy = lambda n, words, time: F.struct(F.lit(n).alias("copy"), F.col(words).alias("words"), F.col(time).alias("time"))
     both = F.array(copy(1, "first_taken", "first_time"), copy(2, "second_taken", "second_time"))
-    return rows.where("copies > 0").withColumn("_copy", F.explode(F.slice(both, F.lit(1), F.col("copies")))).select("*", "_copy.*").orderBy("time", "_key", "copy")
+    copies = rows.where("copies > 0").withColumn("_copy", F.explode(F.slice(both, F.lit(1), F.col("copies")))).select("*", "_copy.*")
+    copies = copies.withColumn("_one", F.lit(1)).withColumn("_stretch", F.floor(F.col("time") * STRETCHES).cast("int"))
+    return running_total(copies, [], "_stretch", ["time", "_key", "copy"], "_one", "position")
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, cut: bool = True) -> DataFrame:
     """One row per row of docs, range-sorted by training time: doc_id, size, source, source_size, target, taken, copies,
-    first_time, second_time.
+    first_time, second_time, first_position, second_position.
 
     Null text has size 0. Null sources form one source of their own, last in order. taken: words that the mix takes of
     the document. With cut, the document at which a source meets its target counts in part, so that the source's taken
     words are its target, rounded. Without, documents count whole or not at all, by whether their middle lies below the
-    target. A document of size 0 is taken with no words if its place lies below the target. Documents that the mix
-    leaves out have no time and come last. Rows that agree in id and text can't be told apart; an empty table gives none.
+    target. A document of size 0 is taken with no words if its place lies below the target. Positions count the copies of
+    all sources from 0 in order of their times. Documents that the mix leaves out have neither and come last. Rows that
+    agree in id and text can't be told apart; an empty table gives none.
     """
-    rows = _taken(_placed(docs, id_col, text_col, source_col, seed), cut)
-    out = rows.select("doc_id", "size", "source", "source_size", "target", (F.col("first_taken") + F.col("second_taken")).alias("taken"), "copies", "first_time", "second_time", "_key")
-    return out.orderBy(F.col("first_time").asc_nulls_last(), "_key").drop("_key")
+    rows = stash(_taken(_placed(docs, id_col, text_col, source_col, seed), cut).withColumn("_row", F.monotonically_increasing_id()))
+    at = lambda n: F.max(F.when(F.col("copy") == n, F.col("position")))
+    places = _each_copy(rows.select("_row", "_key", "copies", "first_taken", "second_taken", "first_time", "second_time")).groupBy("_row").agg(at(1).alias("first_position"), at(2).alias("second_position"))
+    out = rows.join(places, "_row", "left").orderBy(F.col("first_position").asc_nulls_last(), "_key")
+    return out.select("doc_id", "size", "source", "source_size", "target", (F.col("first_taken") + F.col("second_taken")).alias("taken"), "copies", "first_time", "second_time", "first_position", "second_position")
 
 
 def mix_schedule(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED, cut: bool = True) -> DataFrame:
-    """The curriculum: one row per copy that mix_sources takes, range-sorted by training time: doc_id, source, copy, words, time."""
-    return _each_copy(_taken(_placed(docs, id_col, text_col, source_col, seed), cut)).select("doc_id", "source", "copy", "words", "time")
+    """The curriculum: one row per copy that mix_sources takes, range-sorted by position: doc_id, source, copy, words, time, position."""
+    rows = stash(_taken(_placed(docs, id_col, text_col, source_col, seed), cut))
+    return _each_copy(rows).select("doc_id", "source", "copy", "words", "time", "position").orderBy("position")
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mix_sources(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    return mix_sources(documents(spark, sf_dir)).drop("source", "copies")
 
 
 def op4_schedule(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,33 +141,43 @@ SQL = rf"""
 WITH d AS (SELECT doc_id, source, md5('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS k,
     CAST(coalesce(len(regexp_extract_all(text, '{WORD}')), 0) AS BIGINT) AS size FROM documents),
 s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CAST(sum(sum(size)) OVER () AS BIGINT) AS total,
-    [5, 2, 1][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)]::DOUBLE AS weight FROM d GROUP BY source),
+    [5, 2, 1][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)]::DOUBLE AS weight,
+    [-0.5, 0.0, 0.5][1 + CAST((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS INT)]::DOUBLE AS slope FROM d GROUP BY source),
 l AS (SELECT *, (total * 1.5::DOUBLE - coalesce(sum(source_size * 2.0::DOUBLE) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0::DOUBLE))
     / sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
     FROM s WINDOW w AS (ORDER BY source_size * 2.0::DOUBLE / weight, source NULLS LAST)),
 f AS (SELECT *, source_size * 2.0::DOUBLE <= weight * level AS filled FROM l),
-t AS (SELECT source, source_size, CASE WHEN filled THEN source_size * 2.0::DOUBLE ELSE weight * ((total * 1.5::DOUBLE
+t AS (SELECT source, source_size, slope, CASE WHEN filled THEN source_size * 2.0::DOUBLE ELSE weight * ((total * 1.5::DOUBLE
     - sum(CASE WHEN filled THEN source_size * 2.0::DOUBLE ELSE 0.0::DOUBLE END) OVER ())
     / sum(CASE WHEN filled THEN 0.0::DOUBLE ELSE weight END) OVER ()) END AS target FROM f),
-r AS (SELECT d.*, CAST(sum(size) OVER (PARTITION BY source ORDER BY k, size, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before FROM d)
-SELECT r.doc_id, r.size, t.source_size, t.target,
-    CAST(greatest(least(CAST(round(t.target) AS BIGINT) - r.before, r.size), 0)
-    + greatest(least(CAST(round(t.target) AS BIGINT) - r.before - t.source_size, r.size), 0) AS BIGINT) AS taken
-FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source
+r AS (SELECT d.*, CAST(sum(size) OVER (PARTITION BY source ORDER BY k, size, doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) - size AS before FROM d),
+g AS (SELECT r.*, t.source_size, t.target, t.slope, CAST(round(t.target) AS BIGINT) AS goal FROM r JOIN t ON r.source IS NOT DISTINCT FROM t.source),
+c AS (SELECT *, 1 AS copy, before AS words FROM g WHERE before < goal UNION ALL
+    SELECT *, 2 AS copy, before + source_size AS words FROM g WHERE before + source_size < goal),
+m AS (SELECT *, CASE WHEN slope = 0 THEN words::DOUBLE / target
+    ELSE (sqrt((1 - slope) * (1 - slope) + 4 * slope * (words::DOUBLE / target)) - (1 - slope)) / (2 * slope) END AS time FROM c),
+p AS (SELECT doc_id, k, copy, time, row_number() OVER (ORDER BY time, k, copy) - 1 AS position FROM m)
+SELECT g.doc_id, g.size, g.source_size, g.target,
+    CAST(greatest(least(goal - g.before, g.size), 0) + greatest(least(goal - g.before - g.source_size, g.size), 0) AS BIGINT) AS taken,
+    a.time AS first_time, b.time AS second_time, a.position AS first_position, b.position AS second_position
+FROM g LEFT JOIN p a ON a.doc_id = g.doc_id AND a.copy = 1 LEFT JOIN p b ON b.doc_id = g.doc_id AND b.copy = 2
 """
 
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """docs as the mix takes them: a row for each copy that mix_sources, without cuts, takes (0 to MOST of a row), range-sorted
-    by the copy's training time; its columns as they are."""
+    by training time, copies of one time by key; its columns as they are, whatever their names. The sort moves whole rows once,
+    so copies get no position."""
     raw = F.xxhash64(F.col(text_col))
     same = ["_key", "_named", "_raw"]
     # rows that agree in these follow one another in their source's order, so the first one's place gives them all
     groups = _placed(docs.withColumn("_raw", raw), id_col, text_col, source_col, seed, carry=("_raw",)).groupBy(*same)
     groups = groups.agg(F.min("_before").alias("_least"), *[F.min(c).alias(f"_{c}") for c in ("size", "source_size", "target", "slope")])
     groups = groups.where("_least + _size / 2 < _target")
-    keyed = docs.select(F.struct(*docs.columns).alias("_doc"), _order_key(F.col(id_col), seed).alias("_key"), _source_name(F.col(source_col)).alias("_named"), raw.alias("_raw"))
+    keyed = docs.select(F.struct("*").alias("_doc"), _order_key(F.col(id_col), seed).alias("_key"), _source_name(F.col(source_col)).alias("_named"), raw.alias("_raw"))
     place = F.row_number().over(Window.partitionBy(*same).orderBy(*same))  # sorted so by the join already
     rows = keyed.join(groups, same).withColumn("_before", F.col("_least") + (place - 1) * F.col("_size"))
     rows = rows.select("_doc", "_key", "_before", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "slope")])
-    return _each_copy(_taken(rows, cut=False)).select("_doc.*")
+    times = F.slice(F.array(F.struct(F.col("first_time").alias("time"), F.lit(1).alias("copy")), F.struct(F.col("second_time").alias("time"), F.lit(2).alias("copy"))), F.lit(1), F.col("copies"))
+    copies = _taken(rows, cut=False).where("copies > 0").select("_doc", "_key", F.explode(times).alias("_at"))
+    return copies.orderBy("_at.time", "_key", "_at.copy").select("_doc.*")

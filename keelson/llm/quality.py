@@ -220,4 +220,4 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows that the classifier rejects; its columns as they are."""
     score = scorer(docs.sparkSession, fit(docs, labels, id_col, text_col))
-    return docs.withColumn("_score", score(text_col)).where(F.col("_score") >= THRESHOLD).select(*docs.columns)
+    return docs.where(score(text_col) >= THRESHOLD)

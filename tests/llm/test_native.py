@@ -4,12 +4,13 @@ import hashlib
 import random
 import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from keelson.llm import exact_dedup, mixing, pii, sharding
+from keelson.llm import exact_dedup, mixing, pii, quality, sharding, simhash
 
 from .util import ODD, near_name_clashes, table
 
@@ -179,6 +180,66 @@ def test_each_copy_has_its_time(spark):
     assert mixing.mix_schedule(docs.limit(0)).count() == 0
 
 
+def time_at(words, target, slope):
+    """When the sum of target * (1 + slope * (2t - 1)) over time reaches words: by halving."""
+    low, high = 0.0, 1.0
+    for _ in range(60):
+        t = (low + high) / 2
+        low, high = (t, high) if target * (t + slope * (t * t - t)) < words else (low, t)
+    return low
+
+
+def expected_order(rows, goals, slopes, seed=mixing.SEED):
+    """(time, key, copy, id) of all copies in order, by plain Python."""
+    by = defaultdict(list)
+    for i, text, source in rows:
+        by[source].append((hashlib.md5(f"{seed}:{'null' if i is None else i}".encode()).hexdigest(), len((text or "").split()), i))
+    out = []
+    for source, own in by.items():
+        total = sum(n for _, n, _ in own)
+        at = 0
+        for key, n, i in sorted(own, key=lambda x: x[:2]):
+            out += [(time_at(words, goals[source], slopes[source]), key, copy, i) for copy, words in ((1, at), (2, at + total)) if words < round(goals[source])]
+            at += n
+    return sorted(out, key=lambda x: (round(x[0], 9), *x[1:3]))
+
+
+def test_times_and_positions(spark, monkeypatch):
+    rows = [(i, "w " * (1 + i * 7 % 50), f"s{i % 4 if i % 3 else 0}") for i in range(300)] + [(None, "no id", None), (1000, None, "s1"), (1001, "", "s2")]
+    docs = table(spark, rows)
+    orders = []
+    for slopes in ((-0.5, 0.0, 0.5), (0.9, -0.9, 0.0)):
+        monkeypatch.setattr(mixing, "SLOPES", slopes)
+        got = mixing.mix_sources(docs).collect()
+        names = sorted({r.source for r in got if r.source}) + [None]
+        want = expected_order(rows, {r.source: r.target for r in got}, {s: slopes[k % 3] for k, s in enumerate(names)})
+        copies = sorted((p, t, n, r.doc_id) for r in got for n, t, p in ((1, r.first_time, r.first_position), (2, r.second_time, r.second_position)) if p is not None)
+        assert [p for p, *_ in copies] == list(range(len(want)))
+        assert [(n, i) for _, _, n, i in copies] == [(n, i) for *_, n, i in want]
+        assert all(abs(t - x[0]) < 1e-9 for (_, t, _, _), x in zip(copies, want, strict=True))
+        assert [(r.position, r.doc_id, r.copy) for r in mixing.mix_schedule(docs).collect()] == [(p, i, n) for p, _, n, i in copies]
+        orders.append([c[2:] for c in copies])
+    assert orders[0] != orders[1]
+
+
+def test_mixing_is_its_sql(spark):
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = duckdb.sql(mixing.SQL)
+    got = mixing.op4_mixing(spark, SF).select(*want.columns)
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_users_columns_stay(spark):
+    """Operators that give back the rows of documents leave every column alone, whatever its name."""
+    rows = ODD[:-3] + [(100 + i, f"some text of some {i % 9} words", "s" + str(i % 2)) for i in range(40)]
+    docs = near_name_clashes(table(spark, rows))
+    labels = spark.createDataFrame([(100 + i, 1) for i in range(40)], "doc_id long, quality int")
+    there = Counter(map(tuple, docs.collect()))
+    for out in (exact_dedup.drop_exact_copies(docs), simhash.keep_one_of_each(docs), mixing.take_mix(docs), quality.keep_good(docs, labels)):
+        assert out.columns == docs.columns
+        assert out.count() and all(tuple(r) in there for r in out.collect())
+
+
 @pytest.mark.parametrize("hot", [0, 500])
 def test_sharding(spark, hot):
     rows = ODD[:6] + ODD[7:8] + [(100 + i, f"text {i} " * (i % 40)) for i in range(600)] + [(5000 + i, "copy " * 20) for i in range(hot)]

@@ -25,11 +25,15 @@ ODD = [
 ]
 
 
+#: Names that the operators make, or could.
+MADE = (
+    "size digest salt norm raw h g key bucket hot n shard target keep_id fingerprint at piece start length time words copy copies position taken place tie score "
+    "_id _raw _lost _place _n _copies _score _doc _key _named _before _at _copy _one _rank _bucket _row _kept _least _size _target _stretch _sum _base _taken"
+).split()
+
+
 def near_name_clashes(df):
-    """df with extra columns that are named like those the operators make."""
+    """df with extra columns that are named like those the operators make; each holds its own name."""
     from pyspark.sql import functions as F
 
-    for name in ("size", "digest", "salt", "norm", "raw", "h", "g", "key", "bucket", "hot", "n", "shard", "target", "keep_id", "fingerprint", "at", "piece", "start", "length"):
-        if name not in df.columns:
-            df = df.withColumn(name, F.lit("extra"))
-    return df
+    return df.select("*", *[F.lit(name).alias(name) for name in MADE if name not in df.columns])
