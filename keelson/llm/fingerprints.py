@@ -4,7 +4,8 @@ A text's bytes are names of level 0. At each level runs of one name are collapse
 name a small label from the lowest bit in which it differs from its left neighbour, three times over, and the local
 maxima of the labels cut the level into phrases. Cuts depend on a few names around them and on no position, so equal
 substrings are cut alike in their interior wherever they stand. A phrase's name is the hash of its names, and the phrases
-are the next level's names. The names of two levels are the set that a fingerprint stands for: BINS minima of 16 bits.
+are the next level's names, until a text is one phrase. The names of all levels from FIRST_LEVEL on are the set that a
+fingerprint stands for: BINS minima of 16 bits.
 """
 
 from __future__ import annotations
@@ -15,15 +16,18 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import documents, range_place, text_or_empty
+from .common import Ranges, documents, give_back, stash, text_or_empty
 
 BINS, EMPTY = 64, 0xFFFF
-#: Levels whose names are in the set: phrases of about 12 and 40 bytes.
-LEVELS = (2, 3)
+#: The lowest level whose names are in the set: phrases of about 12 bytes; each further level's are some three times as long.
+FIRST_LEVEL = 2
 ROUNDS = 3
 #: Bytes parsed at once (a longer text goes whole, alone), and bytes of text to a range of ids.
 AT_ONCE, RANGE_BYTES = 1 << 21, 8 << 20
+#: Partitions; beyond, they hold several ranges, one after the other.
+MOST_PARTS = 20_000
 
 _ONE, _ODD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 _LOWEST = np.zeros(1 << 16, dtype=np.uint8)
@@ -90,14 +94,17 @@ def sketches(texts: list[bytes]) -> np.ndarray:
         names = np.frombuffer(b"".join(texts[first:last]), dtype=np.uint8).astype(np.uint16)
         doc = np.repeat(np.arange(last - first, dtype=np.int32), [len(t) for t in texts[first:last]])
         keys = []
-        for level in range(1, max(LEVELS) + 1):
-            if not len(names):
-                break
+        level = 0
+        while len(names):
             names, doc = _level(names, doc)
-            if level in LEVELS:
+            level += 1
+            if level >= FIRST_LEVEL:
                 with np.errstate(over="ignore"):
                     mixed = _mix(names + np.uint64(level))
                 keys.append(((doc.astype(np.uint64) * np.uint64(BINS) + (mixed & np.uint64(BINS - 1))) << np.uint64(32)) | (mixed >> np.uint64(32)))
+                own = np.concatenate(([True], doc[1:] != doc[:-1], [True]))
+                more = ~(own[:-1] & own[1:])  # a text of one phrase is done
+                names, doc = names[more], doc[more]
         if keys:
             keys = np.sort(np.concatenate(keys))
             cell = keys >> np.uint64(32)
@@ -135,19 +142,20 @@ def _compared(ids: list, texts: list[bytes], after: list[bytes]) -> pa.RecordBat
 
 
 def _pairs(batches):
-    """Batches of (bucket, doc_id, text) in order, the last row of a bucket being the first of the next: rows compared."""
-    bucket, ids, texts, size = None, [], [], 0
+    """Batches of (part, edge, doc_id, tie, text) in order, the last row of a part being the first of the next: rows compared."""
+    part, ids, texts, size = None, [], [], 0
 
     for batch in batches:
         for b, d, t in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), batch.column(4).to_pylist(), strict=True):
-            if b != bucket or size >= AT_ONCE:
+            if b != part or size >= AT_ONCE:
                 if len(ids) > 1:
                     yield _compared(ids[:-1], texts[:-1], texts[1:])
-                ids, texts = ([], []) if b != bucket else (ids[-1:], texts[-1:])
-                bucket, size = b, sum(map(len, texts))
+                ids, texts = ([], []) if b != part else (ids[-1:], texts[-1:])
+                part, size = b, sum(map(len, texts))
             ids.append(d)
             texts.append(t)
             size += len(t)
+        give_back()
     if len(ids) > 1:
         yield _compared(ids[:-1], texts[:-1], texts[1:])
 
@@ -155,24 +163,27 @@ def _pairs(batches):
 def fingerprint_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
-    Documents stand in descending order of id, null ids last, rows of one id by their texts' hash; the next of the last
-    is the first, and that of a single one itself. Null text counts as empty; the fingerprint of an empty text is all f.
-    Ranges of ids hold about as many rows each, so a task holds a range's rows one after the other and one row of the next range.
-    An empty table gives no rows.
+    Ids are whole numbers. Documents stand in descending order of id, null ids last, rows of one id by their texts' hash; the
+    next of the last is the first, and that of a single one itself. Null text counts as empty; the fingerprint of an empty
+    text is all f. A partition holds ranges of ids of about as many bytes each, one document after the other, and the first
+    one of the next partition: MOST_PARTS such documents at most are looked up by a broadcast of their ids. An empty table
+    gives no rows.
     """
     text = text_or_empty(text_col).cast("binary")
     rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("tie"), text.alias("text"))
-    total = docs.agg(F.sum(F.octet_length(text_or_empty(text_col)) + 1)).first()[0] or 0
-    ranges = max(1, -(-total // RANGE_BYTES))
-    rows = rows.withColumn("bucket", F.lit(ranges - 1) - range_place(docs, id_col, ranges)("doc_id"))
+    sizes = stash(rows.select("doc_id", "tie", (F.octet_length("text") + 1).cast("bigint").alias("size")))
+    ranges = Ranges(sizes, RANGE_BYTES)
+    parts = min(ranges.count, MOST_PARTS)
+    part = F.floor((F.lit(ranges.count - 1) - ranges.place(F.col("doc_id"), F.col("tie"))).cast("bigint") * parts / ranges.count).cast("int")
     order = F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "tie")
-    heads = [(r["bucket"], r["head"]["doc_id"], r["head"]["tie"]) for r in rows.select("bucket", "doc_id", "tie").groupBy("bucket").agg(F.max(order).alias("head")).orderBy("bucket").collect()]
-    before = [heads[i - 1][0] for i in range(len(heads))]  # the range whose last row a head follows
-    edge = docs.sparkSession.createDataFrame([(b, i, t) for b, (_, i, t) in zip(before, heads, strict=True)], "to int, head_id long, head_tie long")
+    heads = sizes.select(part.alias("part"), order.alias("head")).groupBy("part").agg(F.max("head").alias("head"))
+    by_part = Window.orderBy("part")  # one row for each partition
+    before = F.coalesce(F.lag("part").over(by_part), F.max("part").over(by_part.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
+    edge = heads.select(before.alias("to"), F.col("head.doc_id").alias("head_id"), F.col("head.tie").alias("head_tie"))
     same = F.col("doc_id").eqNullSafe(F.col("head_id")) & (F.col("tie") == F.col("head_tie"))
-    ends = rows.drop("bucket").join(F.broadcast(edge), same).groupBy("to", "doc_id", "tie").agg(F.min("text").alias("text"))  # one row to a range
-    whole = rows.select("bucket", F.lit(0).alias("edge"), "doc_id", "tie", "text").unionAll(ends.select(F.col("to").alias("bucket"), F.lit(1).alias("edge"), "doc_id", "tie", "text"))
-    whole = whole.repartition("bucket").sortWithinPartitions("bucket", "edge", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
+    ends = rows.join(F.broadcast(edge), same).groupBy("to", "doc_id", "tie").agg(F.min("text").alias("text"))  # one row to a partition
+    whole = rows.select(part.alias("part"), F.lit(0).alias("edge"), "doc_id", "tie", "text").unionAll(ends.select(F.col("to").alias("part"), F.lit(1).alias("edge"), "doc_id", "tie", "text"))
+    whole = whole.repartitionById(parts, "part").sortWithinPartitions("part", "edge", F.col("doc_id").desc_nulls_last(), F.col("tie").desc())
     return whole.mapInArrow(_pairs, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
