@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -101,6 +102,42 @@ def test_pii(spark):
     assert "iban:" in got[9].spans
 
 
+def test_pii_costs_by_the_length_of_a_text(spark):
+    """Twice the matches in one text take about twice the time, and all are found."""
+
+    def seconds(n):
+        docs = table(spark, [(1, " ".join(f"user{i}@host{i}.com" for i in range(n)))])
+        began = time.time()
+        (row,) = pii.digest_columns(pii.find_pii(docs)).collect()
+        assert row.n_email == n
+        return time.time() - began
+
+    seconds(2_000)
+    few, many = seconds(32_000), seconds(64_000)
+    assert many < 3 * few + 1, (few, many)
+
+
+def test_words_nearby_move_the_score(spark):
+    cases = [
+        ("card 4111111111111111", 0.88), ("4111111111111111", 0.7), ("order 4111111111111111", 0.35), ("discard 4111111111111111", 0.7), ("Card: 4111111111111111 (order)", 0.44),
+        ("recipe 10.0.0.1", 0.5), ("ip 10.0.0.1", 0.8), ("version 10.0.0.1", 0.25), ("hotel +1 555 123 4567", 0.55), ("tel +1 555 123 4567", 0.82),
+        ("card " + "x" * 50 + " 4111111111111111", 0.7), ("a@b.c mail", 0.9), ("DE89370400440532013000 is the bank account", 0.96), ("account " * 9 + "10.0.0.1 a@b.c", None),
+    ]
+    got = {r.doc_id: r.found for r in pii.find_pii(table(spark, [(i, t) for i, (t, _) in enumerate(cases)])).collect()}
+    for i, (text, score) in enumerate(cases):
+        assert score is None or abs(max(s.score for s in got[i] if s.kind != "card" or "4111" in s.value) - score) < 0.005, (text, got[i])
+    # words beyond the next match of a kind are that match's
+    near = pii.find_pii(table(spark, [(0, "card 4111111111111111 and 5500005555555559")]), kinds=("card",)).first().found
+    assert [round(s.score, 2) for s in near] == [0.88, 0.7]
+
+
+def test_pii_of_odd_tables(spark):
+    docs = near_name_clashes(table(spark, [(1, "me@x.org")] * 3 + [(None, "10.0.0.1"), (2, None), (2, "")]))
+    got = pii.digest_columns(pii.find_pii(docs)).collect()
+    assert sorted((str(r.doc_id), r.spans) for r in got) == sorted([("1", "email:0:8")] * 3 + [("None", "ip:0:8"), ("2", ""), ("2", "")])
+    assert pii.digest_columns(pii.find_pii(docs.limit(0))).count() == 0
+
+
 def test_iban_ends_where_its_checksum_holds(spark):
     de, spaced, gb = "DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32"
     cases = [
