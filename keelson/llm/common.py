@@ -41,6 +41,22 @@ def stash(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def drop_stash(df: DataFrame) -> None:
+    """Remove the files of what stash() gave. Nothing that is still to be computed may read it."""
+    file = df._jdf.queryExecution().logical().rdd().getCheckpointFile()
+    if file.isDefined():
+        remove_path(df.sparkSession, file.get())
+
+
+#: Rows of a list up to which it is broadcast.
+BROADCAST_ROWS = 1 << 20
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A stashed list of a few narrow columns, broadcast in joins if it has BROADCAST_ROWS at most, and joined by shuffle beyond."""
+    return F.broadcast(df) if df.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS else df
+
+
 def give_back() -> None:
     """Return memory that Arrow and the C library hold but don't use: an executor's Python workers live as long as it does."""
     pa.default_memory_pool().release_unused()
