@@ -48,6 +48,11 @@ def drop_stash(df: DataFrame) -> None:
         remove_path(df.sparkSession, file.get())
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner find the shuffles that nothing will read again, and delete their files on the executors."""
+    spark.sparkContext._jvm.System.gc()
+
+
 #: Rows of a list up to which it is broadcast.
 BROADCAST_ROWS = 1 << 20
 
