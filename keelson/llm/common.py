@@ -48,6 +48,11 @@ def drop_stash(df: DataFrame) -> None:
         remove_path(df.sparkSession, file.get())
 
 
+def hot_rows(total: int, most: int = 1 << 16) -> int:
+    """Rows from which a key is dealt in parts: so many in any table, and less in a small one, where they are a task's share too."""
+    return min(most, max(128, total // 2048))
+
+
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner find the shuffles that nothing will read again, and delete their files on the executors."""
     spark.sparkContext._jvm.System.gc()

@@ -1,24 +1,20 @@
 """Exact dedup by skew-safe combining, in DataFrame operations only.
 
-A first pass keeps a digest of every normalised text. Digests that hold many rows (at most HOT_SHARES of them can, so the
-list is bounded) are salted. Rows are then grouped by digest, salt and the whole text: Spark's partial aggregation does
-this locally before anything is shuffled, the exchange merges the salted groups, and the few winners of each salted
-group are combined globally, again by whole text. The digest only routes rows. Should two texts share one, their rows are
-matched by whole text too.
+A first pass keeps a digest of every normalised text. Digests that hold more rows than a task should are salted. Rows are
+then grouped by digest, salt and the whole text: Spark's partial aggregation does this locally before anything is shuffled,
+the exchange merges the salted groups, and the few winners of each salted group are combined globally, again by whole text.
+The digest only routes rows. Should two texts share one, their rows are matched by whole text too.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .common import LOWER, UPPER, ascii_lower, documents, drop_rows, stash, text_or_empty
+from .common import LOWER, UPPER, ascii_lower, documents, drop_rows, hot_rows, small, stash, text_or_empty
 
-#: A digest is hot from 1/HOT_SHARES of all rows (and at least HOT_ROWS), so at most HOT_SHARES digests are.
-HOT_SHARES = 2048
-HOT_ROWS = 128
-SALTS = 32
+#: Parts that a hot digest's rows are dealt in.
+SALTS = 64
 
 
 def sha256_of(norm: Column) -> Column:
@@ -36,41 +32,40 @@ def exact_dedup(
     """
     norm = normalise(text_or_empty(text_col))
     base = docs.select(F.col(id_col).alias("doc_id"), norm.alias("norm"), F.xxhash64(F.col(text_col)).alias("raw"))
-    base = base.select("doc_id", "norm", "raw", digest(F.col("norm")).alias("digest"))
-    slim = stash(base.select("doc_id", "raw", "digest", sha256_of(F.col("norm")).alias("text_sha256")))
+    base = base.select("doc_id", "norm", "raw", digest(F.col("norm")).alias("digest"), F.monotonically_increasing_id().alias("row"))
+    slim = stash(base.select("doc_id", "raw", "digest", "row", sha256_of(F.col("norm")).alias("text_sha256")))
 
-    counts = slim.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
-    total = slim.count()
-    hot = stash(counts.where(F.col("n") >= max(HOT_ROWS, -(-total // HOT_SHARES))).select("digest", F.lit(True).alias("hot")))
+    last = F.max(F.struct("doc_id", "row"))["row"].alias("keep_row")  # of the rows with the largest id, one
+    counts = stash(slim.groupBy("digest").agg(F.count(F.lit(1)).alias("n"), last))
+    hot = small(stash(counts.where(F.col("n") >= hot_rows(slim.count())).select("digest", F.lit(True).alias("hot"))))
+    every = F.explode(F.sequence(F.lit(0), F.when(F.col("hot"), salts - 1).otherwise(0))).alias("salt")
 
     def salted(df: DataFrame) -> DataFrame:
-        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id"), F.lit(salts))).otherwise(F.lit(0))
-        return df.join(F.broadcast(hot), "digest", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("salt", salt.cast("int"))
+        """By the row's place too, as many rows may have no id; a row's salt needn't be the same in every pass."""
+        salt = F.when(F.col("hot"), F.pmod(F.xxhash64("doc_id", "row"), F.lit(salts))).otherwise(F.lit(0))
+        return df.join(hot, "digest", "left").withColumn("hot", F.coalesce("hot", F.lit(False))).withColumn("salt", salt.cast("int"))
 
     groups = (
-        salted(base.select("doc_id", "norm", "digest"))
+        salted(base.select("doc_id", "norm", "digest", "row"))
         .groupBy("digest", "salt", "hot", "norm")
         .agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        .select("digest", "salt", "hot", "keep_id", "group_size", F.when(F.col("hot"), F.col("norm")).alias("norm"))
+        .select("digest", "hot", "keep_id", "group_size", F.when(F.col("hot"), F.col("norm")).alias("norm"))
     )
     groups = stash(groups)  # narrow: whole texts stay in it for hot digests only
-    winners = groups.where(F.col("hot")).groupBy("digest", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
-    winners = winners.select("digest", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), "keep_id", "group_size")
-    winners = winners.unionByName(groups.where(~F.col("hot")).select("digest", "salt", "keep_id", "group_size"))
-
-    shared = stash(winners.groupBy("digest", "salt").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest").distinct())
+    winners = groups.where("hot").groupBy("digest", "hot", "norm").agg(F.max("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size")).drop("norm")
+    winners = winners.unionByName(groups.where("not hot").drop("norm"))
+    shared = stash(winners.groupBy("digest").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("digest"))
     clash = bool(shared.take(1))
     if clash:
         winners = winners.join(shared, "digest", "left_anti")
-    found = salted(slim).join(winners, ["digest", "salt"]).select("doc_id", "raw", "text_sha256", "digest", "salt", "keep_id", "group_size", F.lit(None).cast("string").alias("norm"))
+    winners = winners.join(counts.select("digest", "keep_row"), "digest").select("digest", every, "keep_id", "group_size", "keep_row")
+    found = salted(slim).join(winners, ["digest", "salt"]).select("doc_id", "raw", "text_sha256", "row", "keep_id", "group_size", "keep_row")
     if clash:  # texts that share a digest: their rows meet by whole text
-        rest = base.join(shared, "digest").withColumn("text_sha256", sha256_of(F.col("norm"))).withColumn("salt", F.lit(-1))
-        best = rest.groupBy("digest", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
-        rest = rest.join(best, ["digest", "norm"])
-        found = found.unionByName(rest.select(*found.columns))
-    same = Window.partitionBy("digest", "salt", "norm", "doc_id") if clash else Window.partitionBy("digest", "salt", "doc_id")
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.row_number().over(same.orderBy("raw")) == 1)
-    return found.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256", "raw")
+        rest = stash(salted(base.join(shared, "digest")))
+        best = rest.groupBy("digest", "hot", "norm").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"), last)
+        rest = rest.join(best.select("digest", "norm", every, "keep_id", "group_size", "keep_row"), ["digest", "norm", "salt"])
+        found = found.unionByName(rest.withColumn("text_sha256", sha256_of(F.col("norm"))).select(*found.columns))
+    return found.select("doc_id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256", "raw")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

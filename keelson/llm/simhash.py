@@ -24,14 +24,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import documents, drop_rows, drop_stash, give_back, small, stash, text_or_empty
+from .common import documents, drop_rows, drop_stash, give_back, hot_rows, small, stash, text_or_empty
 
 WORDS, SEED = 4, 42
 DIFFER = 4
 #: Fingerprints to a bucket, as far as bits make it so, and the most that a task takes as one.
 PER_BUCKET, MOST = 1 << 10, 1 << 15
 FANOUT = 16
-#: Documents of one fingerprint, or fingerprints of one component, from which on they are dealt in SALTS parts.
+#: Documents of one fingerprint, or fingerprints of one component, from which on they are dealt in SALTS parts (less in a
+#: small table).
 HOT, SALTS = 1 << 16, 64
 #: Pairs of nodes or fingerprints compared at once.
 AT_ONCE = 1 << 18
@@ -255,15 +256,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     trees = components(find_links(distinct))
     placed = distinct.join(trees, distinct["fingerprint"] == trees["node"], "left").select("fingerprint", "least", "n", F.coalesce("root", "fingerprint").alias("root"))
     # most fingerprints are alone; the answers of the others are salted, as one component may hold a third of all
-    parts = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(n >= HOT, SALTS - 1).otherwise(0).cast("bigint"))).alias("salt")
-    salt = lambda n, *by: F.when(n >= HOT, F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("bigint")
+    many = hot_rows(rows.count(), HOT)
+    parts = lambda n: F.explode(F.sequence(F.lit(0).cast("bigint"), F.when(n >= many, SALTS - 1).otherwise(0).cast("bigint"))).alias("salt")
+    salt = lambda n, *by: F.when(n >= many, F.pmod(F.xxhash64(*by), F.lit(SALTS))).otherwise(0).cast("bigint")
     smallest = placed.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("size")).where("size > 1")
-    vast = small(stash(smallest.where(F.col("size") >= HOT).select("root", "size")))
+    vast = small(stash(smallest.where(F.col("size") >= many).select("root", "size")))
     placed = placed.join(vast, "root", "left").withColumn("salt", salt(F.coalesce("size", F.lit(0)), "fingerprint")).drop("size")
     classes = placed.join(smallest.select("root", "component_id", parts(F.col("size"))), ["root", "salt"], "left")
     classes = classes.select("fingerprint", "root", "n", F.coalesce("component_id", "least").alias("component_id"))
     # so are documents of one fingerprint
-    hot = small(stash(distinct.where(F.col("n") >= HOT).select("fingerprint", "n")))
+    hot = small(stash(distinct.where(F.col("n") >= many).select("fingerprint", "n")))
     rows = rows.join(hot, "fingerprint", "left").withColumn("salt", salt(F.coalesce("n", F.lit(0)), "doc_id", "raw")).drop("n")
     classes = classes.select("fingerprint", "root", "component_id", parts(F.col("n")))
     return rows.join(classes, ["fingerprint", "salt"]).select("doc_id", "raw", "fingerprint", "component_id", "root")

@@ -32,12 +32,13 @@ def expected_dedup(rows):
 
 @pytest.mark.parametrize("digest", [exact_dedup.sha256_of, lambda norm: F.substring(norm, 1, 1)])
 def test_exact_dedup(spark, digest):
-    rows = ODD + [(100 + i, "Hot text") for i in range(300)] + [(1000 + i, f"t{i % 7}") for i in range(40)]
+    rows = ODD + [(100 + i, "Hot text") for i in range(300)] + [(1000 + i, f"t{i % 7}") for i in range(40)] + [(None, "hot without ids")] * 200 + [(7777, "hot of one id")] * 150
     got = exact_dedup.exact_dedup(near_name_clashes(table(spark, rows)), digest=digest).collect()
     assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], key=str) == expected_dedup(rows)
     kept = [r for r in got if r.kept]
     assert len(kept) == len({r.text_sha256 for r in got})
     assert all(r.doc_id == r.keep_id for r in kept)
+    assert exact_dedup.exact_dedup(table(spark, rows).limit(0), digest=digest).count() == 0
 
 
 def test_drop_exact_copies(spark):
