@@ -2,9 +2,10 @@
 
 A text's terms are triples of character classes, its runs collapsed, and how its words repeat; none depends on a word's
 identity, so the classifier sees form and not topic or language. Terms are weighted by rarity and projected to a few
-latent dimensions, found by a singular value decomposition of a bounded sample of labelled rows. The sample's vectors are
-broadcast; every document's vector is multiplied with all of them, block by block, and the nearest vote for their labels,
-weighted by cosine.
+latent dimensions, found by a singular value decomposition of a bounded sample of labelled rows. The sample's terms are counted
+where its texts are, and only these counts, TERMS numbers a text at most, come to the driver. The sample's vectors are broadcast;
+every document's vector is multiplied with all of them, block by block, and the nearest vote for their labels, weighted by
+cosine.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, text_or_empty
+from .common import documents, give_back, stash, text_or_empty
 
 #: Labelled rows fitted on, for each label: the bound of the sample, and so of what is collected and broadcast.
 SAMPLE = 2048
@@ -135,11 +136,10 @@ def features(texts: list[bytes]) -> np.ndarray:
 class Model:
     """Latent vectors of the labelled sample, and how to bring others there."""
 
-    def __init__(self, texts: list[bytes], labels: np.ndarray, share: float):
-        """share: of label 1 among all rows that could have been sampled; votes are weighted so that it holds."""
+    def __init__(self, raw: np.ndarray, labels: np.ndarray, share: float):
+        """raw: features() of the sample. share: of label 1 among all rows that could have been sampled; votes are weighted so that it holds."""
         self.share = float(share)
         self.labels = labels.astype(np.float64)
-        raw = np.concatenate([features(texts[i : i + ROWS_AT_ONCE]) for i in range(0, len(texts), ROWS_AT_ONCE)]) if texts else np.zeros((0, TERMS))
         self.idf = np.log((1 + len(raw)) / (1 + (raw > 0).sum(axis=0))) + 0.3
         self.idf[TERMS - _EXTRA :] = 1.0 + 2.0 * (np.arange(_EXTRA) >= _EXTRA - 3)
         x = (raw * self.idf).astype(np.float32)
@@ -180,18 +180,25 @@ def held_out(doc_id="doc_id"):
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """A model of at most sample rows of each label, those with the smallest keyed hash of their id. Rows held out are not
-    read; rows without id, label or document don't count, of repeated ids one does. Without labels scores are 0.5."""
+    read; rows without id, label or document don't count, nor do ids that have both labels; of repeated ids one does. Without
+    labels scores are 0.5."""
     usable = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
+    usable = stash(usable.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other"))
     share = usable.agg(F.avg("label")).first()[0]
-    chosen = None
-    for label in (0, 1):
-        some = usable.where(F.col("label") == label).dropDuplicates(["doc_id"]).orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(sample)
-        chosen = some if chosen is None else chosen.unionByName(some)
+    by_hash = lambda label: usable.where(F.col("label") == label).orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(sample)
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
-    rows = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    found = rows.toLocalIterator()
-    got = sorted((r["doc_id"], r["label"], bytes(r["text"])) for r in found)
-    return Model([t for *_, t in got], np.array([y for _, y, _ in got]), 0.5 if share is None else share)
+    rows = texts.join(F.broadcast(by_hash(0).unionAll(by_hash(1))), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+
+    @F.pandas_udf("struct<at:binary,value:binary>")
+    def terms(texts: pd.Series) -> pd.DataFrame:
+        made = [features([bytes(t)])[0].astype(np.float32) for t in texts]
+        return pd.DataFrame({"at": [np.nonzero(x)[0].astype("<u2").tobytes() for x in made], "value": [x[x != 0].astype("<f4").tobytes() for x in made]})
+
+    got = sorted(rows.select("doc_id", "label", terms("text").alias("terms")).collect(), key=lambda r: r["doc_id"])  # 2 * sample rows at most
+    raw = np.zeros((len(got), TERMS))
+    for x, r in zip(raw, got, strict=True):
+        x[np.frombuffer(r["terms"]["at"], "<u2")] = np.frombuffer(r["terms"]["value"], "<f4")
+    return Model(raw, np.array([r["label"] for r in got]), 0.5 if share is None else share)
 
 
 def scorer(spark: SparkSession, model: Model):
@@ -200,7 +207,9 @@ def scorer(spark: SparkSession, model: Model):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return pd.Series(shared.value.score([bytes(t) for t in texts]))
+        made = pd.Series(shared.value.score([bytes(t) for t in texts]))
+        give_back()
+        return made
 
     return lambda text: score(text_or_empty(text).cast("binary"))
 

@@ -22,6 +22,17 @@ def test_held_out_accuracy(spark):
     assert len(got) == 1000 and all(r.held_out == held(r.doc_id) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
     test = [(truth[r.doc_id], r.predicted) for r in got if r.held_out and r.doc_id in truth]
     assert np.mean([y == p for y, p in test]) > 0.97
+    good, bad = ([r.score for r in got if r.held_out and truth.get(r.doc_id) == y] for y in (1, 0))
+    wins = [(a > b) + (a == b) / 2 for a in good for b in bad]
+    assert len(wins) > 500 and np.mean(wins) > 0.99, np.mean(wins)  # area under the curve of rows whose labels weren't read
+
+
+def test_an_id_counts_once(spark):
+    docs = table(spark, [(i, f"text {'!' * i} number {i}") for i in range(40)])
+    labels = [(i, i % 2) for i in range(40)]
+    one = quality.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int"))
+    two = quality.fit(docs, spark.createDataFrame(labels * 3 + [(100, 0), (100, 1)], "doc_id long, quality int"))
+    assert one.share == two.share and np.array_equal(one.vectors, two.vectors)
 
 
 def test_held_out_labels_are_not_read(spark):
@@ -36,7 +47,7 @@ def test_voting_is_exact():
     rng = np.random.default_rng(1)
     words = [b"alpha", b"BETA!!", b"x", b"12", b"*** ", b"mid. ", b"\xc3\xa9t\xc3\xa9"]
     texts = [b" ".join(words[j] for j in rng.integers(0, 7, 1 + i % 40)) for i in range(300)]
-    model = quality.Model(texts[:200], np.arange(200) % 2, 0.7)
+    model = quality.Model(quality.features(texts[:200]), np.arange(200) % 2, 0.7)
     vectors = model._unit((quality.features(texts) * model.idf).astype(np.float32) @ model.basis)
     for text, v in list(zip(texts, vectors, strict=True))[200:]:
         cosines = model.vectors @ v
