@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from .errors import EngineError, quoted
 from .functions.expressions import compile_expression, failing
 from .operators import compact as compaction
-from .operators.merge import key_columns, view
+from .operators.cursor import Cursor
+from .operators.merge import BLOOM_BITS, key_columns, view
 from .operators.modify import Mode, check_rows, delete, put, tombstones
 from .plans.access import KeyRange, Point, plan_where
 from .plans.parser import parse
@@ -87,6 +88,15 @@ class Table:
         rows = view(self.store, predicate=wanted.predicate(self.schema))
         return self._ordered(rows, wanted.descending) if ordered else rows
 
+    def cursor(self, wanted: KeyRange | None = None, page: int = 256) -> Cursor:
+        """A cursor on the first row of a range, of all rows by default; it holds page rows at once."""
+        now = self.store.live()
+
+        def fetch(predicate, descending: bool, n: int) -> list[tuple]:
+            return [tuple(r) for r in self._ordered(view(self.store, now, predicate), descending).limit(n).collect()]
+
+        return Cursor(self.schema, fetch, wanted or KeyRange(), page)
+
     def as_of(self, version: int) -> DataFrame:
         """The rows as of a manifest that is still kept."""
         found = self.store.read_manifest(version) if version in self.store.versions() else None
@@ -137,8 +147,10 @@ class Engine:
         self.spark.conf.set("spark.sql.ansi.enabled", "false")
         self.spark.conf.set("spark.sql.caseSensitive", "true")
         self.spark.conf.set("spark.sql.session.timeZone", "UTC")
-        self.root = root.rstrip("/")
         self.options = options or Options()
+        self.spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.maxNumItems", str(self.options.bloom_rows))
+        self.spark.conf.set("spark.sql.optimizer.runtime.bloomFilter.maxNumBits", str(self.options.bloom_rows * BLOOM_BITS))
+        self.root = root.rstrip("/")
         self.catalog = Catalog(self.spark, self.root)
 
     def __enter__(self) -> Engine:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .engine import Engine, Table
+from .errors import EngineError
 from .functions.keycodec import encode_key
 from .plans.access import KeyRange
 from .plans.schema import TableSchema
@@ -256,6 +257,84 @@ _QUERIES["catalog_describe"] = _catalog_describe
 _SQL["catalog_describe"] = "select * from (values (1, 'event_type', 'string', 1), (2, 'user_id', 'int64', 2), (3, 'event_id', 'int64', 3), (4, 'value_c', 'int64', 0)) as t(ordinal, name, type, key_place)"
 
 
+def _sql_create(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table made, filled, changed and described by statements alone."""
+    engine = Engine(spark, fresh_root(spark, "tables"))
+    engine.exec("CREATE TABLE place (primary key (name, id), id int64, name string, size int64);")
+    for r in spark.read.parquet(f"{sf_dir}/region.parquet").collect():  # five rows, each a statement
+        engine.exec(f"insert into place values ({r.r_regionkey}, '{r.r_name}', {len(r.r_name)})")
+    engine.exec("update place set size = size * 10 + id where name >= 'AS'")
+    kinds = "".join(c.kind.value[0] for c in engine.schema("place").columns)
+    return engine.exec(f"select name, id, size, '{kinds}' from place").frame
+
+
+_QUERIES["sql_create_table"] = _sql_create
+_SQL["sql_create_table"] = "select r_name as name, cast(r_regionkey as bigint) as id, case when r_name >= 'AS' then length(r_name) * 10 + r_regionkey else length(r_name) end as size, 'isi' as col4 from region"
+
+#: Statements over nation_ref, and the errors that they end in, empty for none.
+REFUSED = (
+    ("select n_name, n_comment from nation_ref", 'no such column "n_comment"'),
+    ("select -n_comment from nation_ref where n_nationkey > 900", 'no such column "n_comment"'),
+    ("select n_name from nation_ref where n_name = 'PERU'", "unimplemented WHERE"),
+    ("select n_name from nowhere", 'table "nowhere" is not found'),
+    ("select n_regionkey / (n_nationkey - 3) from nation_ref", "division by zero"),
+    ("select n_regionkey / (n_nationkey - 3) from nation_ref where n_nationkey > 3", ""),
+    ("select n_name + 1 from nation_ref", "arithmetic requires integers"),
+    ("insert into nation_ref values (3, 'again', 9)", "duplicate primary key"),
+    ("update nation_ref set n_nationkey = 1", "UPDATE cannot change a primary key column"),
+    ("create table nation_ref (a int64, primary key (a))", 'table "nation_ref" already exists'),
+    ("create table fresh (a int64, primary key (b))", 'primary key column "b" is not a column'),
+)
+
+
+def _refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    engine, rows = fresh(spark, sf_dir, "nation_ref"), []
+    for n, (text, _) in enumerate(REFUSED):
+        try:
+            engine.exec(text).rows()
+            rows.append((n, text, ""))
+        except EngineError as error:
+            rows.append((n, text, str(error)))
+    return spark.createDataFrame(rows, "n int, statement string, error string")
+
+
+_QUERIES["sql_errors"] = _refused
+_SQL["sql_errors"] = "select * from (values " + ", ".join("({}, '{}', '{}')".format(n, *(x.replace("'", "''") for x in pair)) for n, pair in enumerate(REFUSED)) + ") as t(n, statement, error)"
+
+
+def _torn_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A manifest torn while it was written is passed over, and its version isn't used again."""
+    engine = fresh(spark, sf_dir, "orders_ref")
+    table = engine.table("orders_ref")
+    store = table.store
+    store.files.create(store._manifest_path(store.next_version()), "torn")
+    engine.exec("delete from orders_ref where o_orderkey < 200")
+    return Engine(spark, engine.root).table("orders_ref").scan().select("o_orderkey", "o_totalprice_c", F.lit(store.live().version).alias("version"))
+
+
+_QUERIES["lsm_torn_manifest"] = _torn_manifest
+_SQL["lsm_torn_manifest"] = f"select o_orderkey, o_totalprice_c, 3 as version from {derived_sql('orders_ref')} where o_orderkey >= 200"
+
+
+def _walked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations' turns as a cursor meets them: up to the end, one step beyond, and back down to the first."""
+    table = loaded(spark, sf_dir, "conv").table("conv")
+    cursor, rows = table.cursor(KeyRange.request(">", (3,), "<=", (40,)), page=64), []
+    while cursor.valid:
+        rows.append((len(rows), *cursor.row[:2]))
+        cursor.next()
+    while cursor.prev():
+        rows.append((len(rows), *cursor.row[:2]))
+    return spark.createDataFrame(rows, "step int, conv_id long, turn long")
+
+
+_QUERIES["api_cursor"] = _walked
+_SQL["api_cursor"] = f"""with c as (select conv_id, turn from {derived_sql('conv')} where conv_id <= 40),
+    up as (select row_number() over (order by conv_id, turn) - 1 as step, conv_id, turn from c where conv_id > 3),
+    down as (select (select count(*) from up) + row_number() over (order by conv_id desc, turn desc) - 1 as step, conv_id, turn from c)
+    select * from up union all select * from down"""
+
+
 def _keycodec_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = loaded(spark, sf_dir, "ev_type").table("ev_type")
     return table.scan().select("event_type", "user_id", "event_id", F.hex(encode_key(table.schema)).alias("key_hex"))

@@ -45,8 +45,15 @@ class Files:
     def exists(self, path: str) -> bool:
         return self._fs.exists(self._path(path))
 
+    def size(self, path: str) -> int:
+        return self._fs.getContentSummary(self._path(path)).getLength()
+
     def create(self, path: str, text: str) -> bool:
-        """Write a new file; False if there is one of that name."""
+        """Write a new file; False if there is one of that name.
+
+        Exclusive where the store's own create is (HDFS, local disks, object stores whose connector writes on condition).
+        On other object stores two writers of one name may both be told that they were first.
+        """
         if self.exists(path):
             return False
         try:

@@ -32,6 +32,8 @@ class Segment:
     path: str
     rows: int
     tombstones: int
+    #: On disk.
+    bytes: int = 0
 
 
 @dataclass(frozen=True)
@@ -67,8 +69,11 @@ class Options:
     flush_rows: int = 0
     growth: float = 0.0
     keep: int = 4
-    #: Rows of newer segments up to which a reader broadcasts their keys and doesn't shuffle the oldest run.
+    #: Rows, and bytes on disk, of newer segments up to which a reader broadcasts their keys to the oldest run.
     broadcast_rows: int = 50_000
+    broadcast_bytes: int = 16 << 20
+    #: Rows of newer segments up to which it broadcasts a filter of their keys (10 bits each).
+    bloom_rows: int = 1 << 26
 
 
 def folder_name(name: str) -> str:
@@ -151,7 +156,7 @@ class SegmentStore:
         if not counts["n"]:
             self.files.remove(f"{self.folder}/segments/{name}")
             return None
-        return Segment(name, counts["n"], counts["dead"] or 0)
+        return Segment(name, counts["n"], counts["dead"] or 0, self.files.size(f"{self.folder}/segments/{name}"))
 
     def read_segments(self, segments) -> DataFrame:
         paths = [f"{self.folder}/segments/{s.path}" for s in segments]

@@ -5,6 +5,7 @@ import random
 import pytest
 
 from keelson.errors import ConflictError, EngineError
+from keelson.operators.merge import view
 from keelson.plans.access import KeyRange
 from keelson.plans.schema import TableSchema
 from keelson.sources.store import Manifest, Segment, SegmentStore
@@ -151,7 +152,7 @@ def test_key_ranges(db):
 @pytest.mark.parametrize("seed", [1, 2])
 def test_random_changes(make, seed):
     rng = random.Random(seed)
-    db = make(flush_rows=4, growth=2.0, broadcast_rows=rng.choice([0, 1000]))
+    db = make(flush_rows=4, growth=2.0, broadcast_rows=rng.choice([0, 1000]), bloom_rows=(0, 1 << 20)[seed % 2])
     t = db.create(TableSchema.of("t", "a int64, b string, v int64", "b, a"))
     model = {}
     for step in range(14):
@@ -177,3 +178,69 @@ def test_random_changes(make, seed):
                 t.upsert(rows)
                 model |= {(b, a): v for a, b, v in rows}
         assert [tuple(r) for r in t.scan().collect()] == [(k[1], k[0], model[k]) for k in sorted(model)], step
+
+
+def shuffled_rows(frame):
+    """Rows that the exchanges of an executed frame have written."""
+
+    def walk(node):
+        if node.nodeName() == "AdaptiveSparkPlan":
+            return walk(node.executedPlan())
+        own = node.plan() if "QueryStage" in node.nodeName() else None
+        if own is not None:
+            return walk(own)
+        metrics, children, total = node.metrics(), node.children(), 0
+        if "Exchange" in node.nodeName() and metrics.contains("shuffleRecordsWritten"):
+            total += metrics.apply("shuffleRecordsWritten").value()
+        return total + sum(walk(children.apply(i)) for i in range(children.size()))
+
+    return walk(frame._jdf.queryExecution().executedPlan())
+
+
+@pytest.mark.parametrize(("options", "most"), [({"broadcast_rows": 0}, 2600), ({"broadcast_rows": 0, "bloom_rows": 0}, None), ({}, 2600)])
+def test_the_old_run_is_not_shuffled(make, spark, options, most):
+    """30,000 rows below 800 newer ones: what of the run is shuffled is about as many as the newer ones (which are read twice)."""
+    db = make(**options)
+    t = db.load(TableSchema.of("t", "a int64, b string, v int64", "a, b"), spark.range(30_000).selectExpr("id as a", "concat('x', id % 7) as b", "0 as v"))
+    t.upsert(spark.range(600).selectExpr("id * 50 as a", "concat('x', id * 50 % 7) as b", "1 as v"))
+    t.delete(spark.range(200).selectExpr("id * 150 as a", "concat('x', id * 150 % 7) as b"))
+    rows = view(t.store)
+    got = rows.collect()
+    moved = shuffled_rows(rows)
+    assert sorted(tuple(r) for r in got) == sorted((a, f"x{a % 7}", int(a % 50 == 0)) for a in range(30_000) if a % 150)
+    assert moved < most if most else moved > 30_000
+    assert ("might_contain" in rows._jdf.queryExecution().toString()) == ("broadcast_rows" in options and "bloom_rows" not in options)
+
+
+@pytest.mark.parametrize("page", [1, 3, 100])
+def test_cursors_walk_both_ways(db, page):
+    """Random steps over ranges in both directions, on three levels, against an index into a list."""
+    rng = random.Random(page)
+    t = db.create(TableSchema.of("pair", "v int64, b string, a int64", "a, b"))
+    t.upsert([(0, b, a) for a in range(5) for b in "mxz"])
+    t.compact()
+    t.upsert([(1, "x", a) for a in range(1, 5, 2)])
+    t.delete([(2, "m"), (4, "z")])
+    rows = [tuple(r) for r in t.scan().collect()]
+    assert list(t.cursor(page=page)) == rows
+    for wanted in (KeyRange(), KeyRange.request(">", (1,), "<=", (3,)), KeyRange.request("<=", (3, "w"), ">", (0, "m")), KeyRange.request(">=", (2, "n"), "<", (2, "o"))):
+        order = rows[::-1] if wanted.descending else rows
+        inside = [(r.v, r.b, r.a) for r in t.range(wanted).collect()]
+        cursor = t.cursor(wanted, page)
+        t.upsert([(9, "late", 2)])  # a cursor sees what was there when it was opened
+        if not inside:  # stands before a row beyond the stop
+            assert not cursor.valid and cursor.row is None and cursor.prev() and cursor.row == (0, "x", 1) or cursor.row == (0, "z", 1)
+            t.delete([(2, "late")])
+            continue
+        at, end = order.index(inside[0]), order.index(inside[-1])
+        assert cursor.row == order[at]
+        for _ in range(25):
+            if rng.random() < 0.6:
+                at = min(at + 1, end + 1)
+                cursor.next()
+            else:
+                at = max(at - 1, -1)
+                cursor.prev()
+            assert cursor.valid == (0 <= at <= end)
+            assert cursor.row == (order[at] if cursor.valid else None)
+        t.delete([(2, "late")])
