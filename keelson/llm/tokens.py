@@ -2,8 +2,8 @@
 
 A vocabulary's path is a parameter. Texts are split into words in Arrow and the words of a group of texts become a dictionary,
 so what follows costs by distinct words: they are split into the pieces that the library would merge one by one, also in
-Arrow, and only pieces not seen lately go through the library. The ids are those of the library: every string with a
-character for which the split here isn't known to agree with the library's goes through it whole.
+Arrow, and the distinct ones of all words go through the library by one call. The ids are those of the library: every string
+with a character for which the split here isn't known to agree with the library's goes through it whole.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 #: Characters for which normalisation is lower-casing only and the classes of all libraries agree: ASCII, the Latin
 #: letters before U+0180 (without U+0130, whose lower case is two characters) and general punctuation.
 SAFE = [chr(c) for r in ((9, 11), (13, 14), (0x20, 0x7F), (0xA1, 0x130), (0x131, 0x180), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0)) for c in range(*r)]
-#: Pieces kept in a cache's younger half; when that is full it becomes the older half, and what was older goes.
-CACHE = 200_000
+#: Pieces whose ids are kept from one group of texts to the next, those of the last groups first.
+CACHE = 500_000
 #: Bytes of text split into words at once.
 AT_ONCE = 8 << 20
 #: Marks the end of a piece while words are split; not a safe character.
@@ -43,6 +43,8 @@ _WORD_PIECES = rf"('s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\s{_LETT
 #: The split of the byte-level vocabulary (fixed value), and the same for safe characters of a word and one blank before it.
 BYTE_SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 _BYTE_PIECES = rf"('s|'t|'re|'ve|'m|'ll|'d| ?[{_LETTERS}]+| ?[{_NUMBERS}]+| ?[^\s{_LETTERS}{_NUMBERS}]+)"
+#: A piece of letters with a blank in front.
+_WORD = rf"^ [{_LETTERS}]+$"
 #: A blank within other white space.
 _WIDE = r"[\s\x0b\x85\p{Z}] [\s\x0b\x85\p{Z}]"
 
@@ -69,31 +71,37 @@ class Ids:
         """Lists joined: the new list i is the old ones from edges[i] to edges[i + 1]."""
         return Ids(self.flat, self.edges[edges])
 
+    def replaced(self, mine: pa.BooleanArray, others: Ids, every: bool = True) -> Ids:
+        """These lists where mine holds, and the others, in order, where it doesn't. every: these have lists for all places."""
+        own = mine.to_numpy(zero_copy_only=False)
+        index = np.arange(len(own)) if every else np.cumsum(own) - 1
+        index[~own] = len(self.edges) - 1 + np.arange(len(own) - own.sum())
+        return self.then(others).take(index)
+
+    def then(self, others: Ids) -> Ids:
+        return Ids(np.concatenate((self.flat, others.flat)), np.concatenate((self.edges, self.edges[-1] + others.edges[1:])))
+
     def bytes(self) -> list[bytes]:
         data, step = self.flat.tobytes(), self.flat.dtype.itemsize
         edges = (self.edges * step).tolist()
         return [data[a:b] for a, b in zip(edges[:-1], edges[1:], strict=True)]
 
 
-class _Cache:
-    """Ids by piece, bounded: what wasn't asked for while CACHE others were is forgotten."""
-
-    def __init__(self, make):
-        self.make, self.young, self.old = make, {}, {}
-
-    def get(self, pieces: list[str]) -> list[bytes]:
-        young, old = self.young, self.old
-        out = list(map(young.get, pieces))
-        missed = [i for i, x in enumerate(out) if x is None]
-        for i in missed:
-            out[i] = old.get(pieces[i])
-        learnt = [i for i in missed if out[i] is None]
-        for i, ids in zip(learnt, self.make([pieces[i] for i in learnt]) if learnt else [], strict=True):
-            out[i] = ids
-        young.update((pieces[i], out[i]) for i in missed)
-        if len(young) > CACHE:
-            self.young, self.old = {}, young
-        return out
+class _Known:
+    """Ids of the CACHE pieces that were asked for last."""
+
+    def __init__(self, dtype: np.dtype):
+        self.pieces, self.ids = pa.array([], pa.string()), Ids.of([], dtype)
+
+    def get(self, pieces: pa.StringArray, make) -> Ids:
+        """make: the ids of pieces that aren't known."""
+        at = pc.index_in(pieces, value_set=self.pieces)
+        there = at.is_valid()
+        found = self.ids.take(at.drop_null().to_numpy()).replaced(there, make(pieces.filter(pc.invert(there))), every=False)
+        others = np.nonzero(~pc.is_in(self.pieces, value_set=pieces).to_numpy(zero_copy_only=False))[0][: max(0, CACHE - len(pieces))]
+        self.pieces = pa.concat_arrays([pieces, self.pieces.take(pa.array(others))])
+        self.ids = found.then(self.ids.take(others))
+        return found
 
 
 def _distinct(found: pa.ListArray) -> tuple[np.ndarray, np.ndarray, pa.StringArray]:
@@ -176,17 +184,16 @@ class WordEncoder:
             kind["added_tokens"] = []
             splits[0] = {"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}
             self.merger = Tokenizer.from_str(json.dumps(kind))
-            self.pieces = _Cache(self._merged)
+            self.known = _Known(self.dtype)
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.asarray(x.ids, dtype=self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _merged(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces, by one call."""
-        made = self.merger.encode(" ".join(pieces), add_special_tokens=False)
-        ids = np.asarray(made.ids, dtype=self.dtype).tobytes()
-        edges = np.searchsorted(np.asarray(made.word_ids, dtype=np.int64), np.arange(len(pieces) + 1)) * self.dtype.itemsize
-        return [ids[a:b] for a, b in zip(edges[:-1].tolist(), edges[1:].tolist(), strict=True)]
+    def _merged(self, pieces: pa.StringArray) -> Ids:
+        """The ids of pieces that aren't empty, by one call."""
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), " ")[0].as_py()
+        made = self.merger.encode(text, add_special_tokens=False)
+        return Ids(np.asarray(made.ids, dtype=self.dtype), np.searchsorted(np.asarray(made.word_ids, dtype=np.int64), np.arange(len(pieces) + 1)))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text (UTF-8), as bytes."""
@@ -202,19 +209,10 @@ class WordEncoder:
     def _of_words(self, words: pa.StringArray) -> Ids:
         odd = pc.match_substring_regex(words, self.unsafe)
         edges, places, pieces = _distinct(_split(pc.utf8_lower(pc.if_else(odd, "", words)), _WORD_PIECES))
-        known = pieces.to_pylist()
-        at = pieces.index("").as_py()
-        made = self.pieces.get(known[:at] + known[at + 1 :]) if at >= 0 else self.pieces.get(known)
-        if at >= 0:
-            made.insert(at, b"")
-        found = Ids.of(made, self.dtype).take(places).merged(edges)
-        if pc.any(odd).as_py():  # their own ids come after all others
-            where = np.nonzero(odd.to_numpy(zero_copy_only=False))[0]
-            plain = Ids.of(self._plain(words.take(pa.array(where)).to_pylist()), self.dtype)
-            index = np.arange(len(words))
-            index[where] = len(words) + np.arange(len(where))
-            found = Ids(np.concatenate((found.flat, plain.flat)), np.concatenate((found.edges, found.edges[-1] + plain.edges[1:]))).take(index)
-        return found
+        some = pc.not_equal(pieces, "")
+        none = Ids.of([b""] * pc.sum(pc.invert(some)).as_py(), self.dtype) if len(pieces) else Ids.of([], self.dtype)
+        found = self.known.get(pieces.filter(some), self._merged).replaced(some, none, every=False).take(places).merged(edges)
+        return found.replaced(pc.invert(odd), Ids.of(self._plain(words.filter(odd).to_pylist()), self.dtype)) if pc.any(odd).as_py() else found
 
 
 class ByteEncoder:
@@ -235,12 +233,24 @@ class ByteEncoder:
         self.dtype = np.dtype("<u2" if len(ranks) < 2**16 else "<u4")
         self.library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.fast = pattern == public_tokenizers.PATTERN == BYTE_SPLIT
-        self.pieces = _Cache(self._plain)
+        self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
+        self.sizes[list(ranks.values())] = [len(t) for t in ranks]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
         one, dtype = self.library.encode_ordinary, self.dtype
         return [np.asarray(one(t), dtype=dtype).tobytes() for t in texts]
 
+    def _of_pieces(self, pieces: pa.StringArray) -> Ids:
+        """Words with a blank in front are one text for the library, as each blank begins a piece; where its ids part is known
+        from the lengths of their bytes."""
+        simple = pc.match_substring_regex(pieces, _WORD)
+        words, rest = pieces.filter(simple), pieces.filter(pc.invert(simple))
+        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words), "")[0].as_py()
+        ids = np.asarray(self.library.encode_ordinary(text), dtype=self.dtype)
+        ends = np.cumsum(pc.binary_length(words).to_numpy())
+        found = Ids(ids, np.concatenate(([0], np.searchsorted(np.cumsum(self.sizes[ids]), ends) + 1)))
+        return found.replaced(simple, Ids.of(self._plain(rest.to_pylist()), self.dtype), every=False)
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text (UTF-8), as bytes."""
         if not self.fast:
@@ -258,9 +268,8 @@ class ByteEncoder:
             starts, which = np.unique(places[first], return_inverse=True)
             ids = self._of_words(pc.binary_join_element_wise("", words, " "))
             bare = self._of_words(words.take(pa.array(starts)))
-            both = Ids(np.concatenate((ids.flat, bare.flat)), np.concatenate((ids.edges, ids.edges[-1] + bare.edges[1:])))
             places[first] = len(words) + which
-            made = both.take(places).merged(edges).bytes()
+            made = ids.then(bare).take(places).merged(edges).bytes()
             for i in np.nonzero(wide.to_numpy(zero_copy_only=False))[0].tolist():
                 made[i] = self._plain([strings[i].as_py()])[0]
             out += made
@@ -269,12 +278,8 @@ class ByteEncoder:
     def _of_words(self, words: pa.StringArray) -> Ids:
         odd = pc.match_substring_regex(words, rf"{_UNSAFE}|[\t-\r]|^ $|^$")
         edges, places, pieces = _distinct(_split(pc.if_else(odd, "", words), _BYTE_PIECES))
-        found = Ids.of(self.pieces.get(pieces.to_pylist()), self.dtype).take(places).merged(edges)
-        where = np.nonzero(odd.to_numpy(zero_copy_only=False))[0]
-        plain = Ids.of(self.pieces.get(words.take(pa.array(where)).to_pylist()), self.dtype)
-        index = np.arange(len(words))
-        index[where] = len(words) + np.arange(len(where))
-        return Ids(np.concatenate((found.flat, plain.flat)), np.concatenate((found.edges, found.edges[-1] + plain.edges[1:]))).take(index)
+        found = self._of_pieces(pieces).take(places).merged(edges)
+        return found.replaced(pc.invert(odd), Ids.of(self._plain(words.filter(odd).to_pylist()), self.dtype))
 
     def decode(self, ids: np.ndarray) -> str:
         return self.library.decode(ids.tolist())
