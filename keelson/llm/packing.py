@@ -127,7 +127,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
 def pack_documents(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset, and the columns named in carry.
 
-    A document is its text's ids, then id 0; null text counts as empty, so every row of docs has a piece at least.
+    Ids are whole numbers, or null. A document is its text's ids, then id 0; null text counts as empty, so every row of docs has a piece at least.
     Only documents longer than the capacity are cut. Repeated rows are packed each for itself.
     """
     pieces = stash(cut_pieces(docs, path or public_path(VOCABULARY), capacity, id_col, text_col, carry))

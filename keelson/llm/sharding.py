@@ -131,6 +131,7 @@ def shard_documents(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id
         return pd.Series(out)
 
     placed = rows.withColumn("shard", shard_of("h", "g") if len(marks) else F.lit(0))
+    placed = stash(placed)  # read twice by the counts
     placed = placed.withColumn("one", F.lit(1)).withColumn("part", F.shiftright("h", 56) * 64 + F.pmod("g", F.lit(64)))
     placed = running_total(placed, ["shard"], "part", ["h", "g"], "one", "slot")
     return placed.select("doc_id", "size", "text_crc32", "shard", F.col("slot").cast("bigint").alias("slot"), *[F.col(f"c_{c}").alias(c) for c in carry])

@@ -1,0 +1,132 @@
+"""The registered queries over a whole small table, each against its SQL or plain Python."""
+
+import hashlib
+import zlib
+from collections import Counter, defaultdict
+
+import duckdb
+import numpy as np
+import pytest
+
+from keelson.llm import binary_output, registry
+from keelson.llm.tokens import ByteEncoder, encoder, public_path
+
+from .test_fingerprints import plain_fingerprint, plain_likeness
+from .test_native import expected_dedup, expected_pii
+from .test_repeats import plain
+from .test_simhash import plain_components
+from .test_simhash import plain_fingerprint as plain_simhash
+from .test_tokens import best_fit, plain_ids
+
+SF = "/root/testdata/sf0.001"
+
+
+@pytest.fixture(scope="module")
+def texts(spark):
+    return {r.doc_id: r.text or "" for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+
+
+def run(spark, name):
+    return registry.queries()[name](spark, SF)
+
+
+@pytest.mark.parametrize("name", sorted(registry.oracle_sql()))
+def test_queries_with_sql(spark, name):
+    duckdb.sql(f"CREATE OR REPLACE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    want = duckdb.sql(registry.oracle_sql()[name])
+    got = run(spark, name)
+    assert sorted(got.columns) == sorted(want.columns)
+    assert sorted(map(tuple, got.select(*want.columns).collect()), key=str) == sorted(want.fetchall(), key=str)
+
+
+def test_op1(spark, texts):
+    got = run(spark, "op1_exact_dedup").collect()
+    assert sorted([(r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got], key=str) == expected_dedup(texts.items())
+    assert all(r.kept == (r.doc_id == r.keep_id) for r in got)
+
+
+def test_op2(spark, texts):
+    got = run(spark, "op2_binary_output").collect()
+    tool = encoder(ByteEncoder, public_path(binary_output.VOCABULARY))
+    assert sorted(r.slot for r in got) == list(range(len(got)))
+    parts = defaultdict(dict)
+    for r in got:
+        parts[r.doc_id][r.piece] = r
+    for i, text in texts.items():
+        ids = np.array([*tool.library.encode_ordinary(text), tool.size], dtype=tool.dtype)
+        want = [ids[k : k + 512] for k in range(0, len(ids), 512)]
+        assert [(r.start, r.n_ids, r.ids_crc32) for _, r in sorted(parts[i].items())] == [(512 * k, len(w), zlib.crc32(w.tobytes())) for k, w in enumerate(want)]
+
+
+def test_op3(spark, texts):
+    for r in run(spark, "op3_pii").collect():
+        base, counts = expected_pii(texts[r.doc_id])
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == counts and r.base_sha256 == hashlib.sha256(base.encode()).hexdigest()
+
+
+def test_op4_schedule(spark):
+    told = {r.doc_id: r for r in run(spark, "op4_mixing").collect()}
+    got = run(spark, "op4_schedule").collect()
+    assert [r.position for r in got] == list(range(len(got)))
+    assert Counter((r.doc_id, r.position, r.time) for r in got) == Counter((i, p, t) for i, r in told.items() for p, t in ((r.first_position, r.first_time), (r.second_position, r.second_time)) if p is not None)
+
+
+def test_op5(spark, texts):
+    want = plain(sorted((i, t.encode()) for i, t in texts.items()))
+    for r in run(spark, "op5_repeats").collect():
+        assert want.pop(r.doc_id) == [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)]
+    assert not want
+
+
+def test_op6(spark, texts):
+    got = run(spark, "op6_packing").collect()
+    want, spans = [], defaultdict(list)
+    for i, ids in zip(texts, plain_ids(list(texts.values())), strict=True):
+        ids += bytes(4)
+        want += [(i, k, k * 2048, len(p := ids[8192 * k : 8192 * k + 8192]) // 4, zlib.crc32(p)) for k in range(-(-len(ids) // 8192))]
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got) == sorted(want)
+    for r in got:
+        spans[r.sequence_id].append((r.offset, r.length))
+    for own in map(sorted, spans.values()):
+        assert [at for at, _ in own] == [sum(n for _, n in own[:k]) for k in range(len(own))] and sum(n for _, n in own) <= 2048
+    assert len(spans) == best_fit([w[3] for w in want], 2048)
+
+
+def test_op7(spark, texts):
+    order = sorted(texts, reverse=True)
+    got = {r.doc_id: r for r in run(spark, "op7_fingerprints").collect()}
+    assert len(got) == len(texts)
+    for i, j in zip(order, order[1:] + order[:1], strict=True):
+        r, half = got[i], len(texts[i]) // 2
+        edited = texts[i][: len(texts[i]) - half] + texts[j][:half]
+        assert r.n_chars == len(texts[i]) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        if len(edited) < 1500:
+            assert r.fingerprint == plain_fingerprint(texts[i].encode()) and r.edited_fingerprint == plain_fingerprint(edited.encode())
+        assert r.near_edited == plain_likeness(r.fingerprint, r.edited_fingerprint) and r.near_next == plain_likeness(r.fingerprint, got[j].fingerprint)
+
+
+def test_op8(spark, texts):
+    got = run(spark, "op8_sharding").collect()
+    assert sorted((r.doc_id, r.size, r.text_crc32) for r in got) == sorted((i, len(t.encode()) + 1, zlib.crc32(t.encode())) for i, t in texts.items())
+    sums = Counter()
+    for s in range(16):
+        own = [r for r in got if r.shard == s]
+        assert sorted(r.slot for r in own) == list(range(len(own)))
+        sums[s] = sum(r.size for r in own)
+    assert max(sums.values()) - min(sums.values()) <= 2 * max(r.size for r in got)
+    assert {r.law for r in got} == {"bytes"} and {r.grown_shard for r in got} == {None}
+
+
+def test_op9(spark, texts):
+    prints = {i: plain_simhash(t) for i, t in texts.items()}
+    classes, least = plain_components(set(prints.values())), {}
+    for i, p in prints.items():
+        least[classes[p]] = min(i, least.get(classes[p], i))
+    got = run(spark, "op9_simhash").collect()
+    assert sorted((r.doc_id, r.fingerprint, r.component_id) for r in got) == sorted((i, f"{p:016x}", least[classes[p]]) for i, p in prints.items())
+
+
+def test_op10(spark, texts):
+    got = run(spark, "op10_quality").collect()
+    assert sorted(r.doc_id for r in got) == sorted(texts)
+    assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2) and 0 <= r.score <= 1 and r.predicted == (r.score >= 0.7) for r in got)
