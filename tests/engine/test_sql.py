@@ -157,7 +157,7 @@ def test_refused(db):
     )
     other = ("select ship from pier", "insert into quay values (7)", "insert into quay values (4, 'Rat')", "update quay set slot = 7", "create table quay (slot int64, primary key (slot))", "create table pier (a int64, primary key (b))", "create table pier (a int64, a string, primary key (a))")
     for text in (*no_column, *other):
-        with pytest.raises(EngineError, match="no such column" if text in no_column else ""):
+        with pytest.raises(EngineError, match="no such column" if text in no_column else None):
             db.exec(text)
     for where in no_access:
         for text in (f"select ship from quay where {where}", f"update quay set ship = 'x' where {where}", f"delete from quay where {where}"):
