@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Ranges, documents, free_shuffles, give_back, remove_path, shared_path, stash, text_or_empty
+from .common import Ranges, documents, drop_stash, free_shuffles, give_back, remove_path, shared_path, stash, text_or_empty
 
 WIDTH, GRAM = 100, 40
 #: Bytes of text to a block and to a bucket; positions worked on at once.
@@ -341,7 +341,10 @@ def find_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         two = settled(store.cogroup(one.groupBy("block")).applyInArrow(strings, sent), STRINGS)
         free_shuffles(spark)
         made = store.cogroup(one.unionAll(two).groupBy("block")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<array<bigint>>, kept binary")
-        return stash(made if texts else made.drop("kept"))
+        made = stash(made if texts else made.drop("kept"))
+        for done in (sizes, one, two):
+            drop_stash(done)
+        return made
     finally:
         spark.sql(f"DROP TABLE IF EXISTS {name}")
         remove_path(spark, path)
