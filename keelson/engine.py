@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import re
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
@@ -17,14 +18,15 @@ from .errors import EngineError, quoted
 from .functions.expressions import compile_expression, failing
 from .operators import compact as compaction
 from .operators.cursor import Cursor
-from .operators.merge import BLOOM_BITS, key_columns, view
+from .operators.merge import BLOOM_BITS, alive, key_columns, newest, view
 from .operators.modify import Mode, check_rows, delete, put, tombstones
 from .plans.access import KeyRange, Point, plan_where
 from .plans.parser import parse
 from .plans.schema import Column, Kind, TableSchema, retyped
 from .plans.syntax import CreateTable, Delete, Insert, Name, Select, Statement, Update
 from .sources.catalog import Catalog
-from .sources.store import DELETED, Manifest, Options, SegmentStore
+from .sources.exchange import PLACE, read_logs, read_sorted_files, write_sorted_files
+from .sources.store import DELETED, SEQ, Manifest, Options, SegmentStore
 
 
 def surfaced(error: Exception) -> Exception:
@@ -137,6 +139,10 @@ class Table:
     def compact(self) -> None:
         compaction.compact(self.store)
 
+    def export(self, folder: str, files: int = 1) -> None:
+        """Write the live rows as a byte-ordered store's sorted files."""
+        write_sorted_files(view(self.store), self.schema, folder, files)
+
     def manifest(self) -> Manifest:
         return self.store.live()
 
@@ -182,6 +188,14 @@ class Engine:
         table.store.commit(Manifest(version, (), (run,) if run else ()))
         return table
 
+    def adopt(self, schema: TableSchema, levels: list[str], logs: list[str] | None = None) -> Table:
+        """Create a table from a byte-ordered store's files: sorted files or folders of them, the newest level first, and logs,
+        which are newer than all levels, the newest first. The newest version of each key counts."""
+        found = [read_logs(self.spark, schema, [path]) for path in logs or []] + [read_sorted_files(self.spark, schema, [path]) for path in levels]
+        ranked = [rows.withColumn(SEQ, F.struct(F.lit(-age), F.col(f"`{PLACE}`"))) for age, rows in enumerate(found)]
+        rows = alive(newest(reduce(DataFrame.unionAll, ranked), schema))
+        return self.load(schema, rows)
+
     def exec(self, text: str) -> Result:
         return self.exec_statement(parse(text))
 

@@ -17,6 +17,7 @@ from .errors import EngineError
 from .functions.keycodec import encode_key
 from .plans.access import KeyRange
 from .plans.schema import TableSchema
+from .sources.exchange import write_log
 from .sources.shared import fresh_root
 from .sources.store import DELETED, Options
 
@@ -335,6 +336,22 @@ _SQL["api_cursor"] = f"""with c as (select conv_id, turn from {derived_sql('conv
     select * from up union all select * from down"""
 
 
+def _exchanged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as a byte-ordered store's files, changes to them as its log, and both adopted by an engine of its own."""
+    engine = fresh(spark, sf_dir, "orders_ref")
+    schema, files = engine.schema("orders_ref"), fresh_root(spark, "files")
+    engine.table("orders_ref").export(f"{files}/level", files=3)
+    rows = derived_frame(engine.spark, sf_dir, "orders_ref")
+    changed = rows.where("o_orderkey % 10 = 0").withColumn("o_totalprice_c", -F.col("o_totalprice_c")).withColumn(DELETED, F.lit(False))
+    gone = rows.where("o_orderkey % 7 = 0").withColumn(DELETED, F.lit(True))
+    write_log(changed.unionByName(gone), schema, f"{files}/log", [F.col(f"`{DELETED}`"), F.col("o_orderkey")])
+    return Engine(spark, fresh_root(spark, "tables")).adopt(schema, [f"{files}/level"], [f"{files}/log"]).scan()
+
+
+_QUERIES["exchange_files"] = _exchanged
+_SQL["exchange_files"] = f"select * replace (case when o_orderkey % 10 = 0 then -o_totalprice_c else o_totalprice_c end as o_totalprice_c) from {derived_sql('orders_ref')} where o_orderkey % 7 != 0"
+
+
 def _keycodec_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = loaded(spark, sf_dir, "ev_type").table("ev_type")
     return table.scan().select("event_type", "user_id", "event_id", F.hex(encode_key(table.schema)).alias("key_hex"))
