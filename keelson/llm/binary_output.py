@@ -120,7 +120,7 @@ def write_shards(docs: DataFrame, out: str, path: str | None = None, length: int
                 yield pa.RecordBatch.from_pydict(
                     {"shard": pa.array(order // share, pa.int32()), "place": order, "doc_id": pa.array(doc, pa.int64()), "piece": pa.array(piece, pa.int32()), "n_ids": pa.array(n, pa.int32()), "ids": pa.array(ids, pa.binary())}
                 )
-            give_back()
+                give_back()
 
     def write(batches):
         from pyarrow import fs

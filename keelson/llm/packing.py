@@ -46,7 +46,7 @@ def cut_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str
                 columns = [pa.array(c, type=f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)]
                 rest = [part.column(2 + j).take(pa.array(source, pa.int64())) for j in range(len(carry))]
                 yield pa.RecordBatch.from_arrays([*columns, *rest], names=[*schema.names, *[f"c_{c}" for c in carry]])
-            give_back()
+                give_back()
 
     read = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"), *[F.col(c).alias(f"c_{c}") for c in carry])
     types = dict(docs.dtypes)

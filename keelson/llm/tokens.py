@@ -21,9 +21,11 @@ import pyarrow.compute as pc
 #: letters before U+0180 (without U+0130, whose lower case is two characters) and general punctuation.
 SAFE = [chr(c) for r in ((9, 11), (13, 14), (0x20, 0x7F), (0xA1, 0x130), (0x131, 0x180), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0)) for c in range(*r)]
 #: Pieces whose ids are kept from one group of texts to the next, those of the last groups first.
-CACHE = 500_000
+CACHE = 300_000
+#: Pieces that the library merges at once.
+MERGED = 1 << 15
 #: Bytes of text split into words at once.
-AT_ONCE = 8 << 20
+AT_ONCE = 6 << 20
 #: Marks the end of a piece while words are split; not a safe character.
 _END = "\x1f"
 
@@ -190,10 +192,16 @@ class WordEncoder:
         return [np.asarray(x.ids, dtype=self.dtype).tobytes() for x in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _merged(self, pieces: pa.StringArray) -> Ids:
-        """The ids of pieces that aren't empty, by one call."""
-        text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(pieces)], pa.int32()), pieces), " ")[0].as_py()
-        made = self.merger.encode(text, add_special_tokens=False)
-        return Ids(np.asarray(made.ids, dtype=self.dtype), np.searchsorted(np.asarray(made.word_ids, dtype=np.int64), np.arange(len(pieces) + 1)))
+        """The ids of pieces that aren't empty, MERGED by one call, as the library keeps much beside an id."""
+        flat, edges, total = [], [np.zeros(1, dtype=np.int64)], 0
+        for at in range(0, len(pieces), MERGED):
+            part = pieces.slice(at, MERGED)
+            text = pc.binary_join(pa.ListArray.from_arrays(pa.array([0, len(part)], pa.int32()), part), " ")[0].as_py()
+            made = self.merger.encode(text, add_special_tokens=False)
+            flat.append(np.asarray(made.ids, dtype=self.dtype))
+            edges.append(total + np.searchsorted(np.asarray(made.word_ids, dtype=np.int64), np.arange(1, len(part) + 1)))
+            total += len(flat[-1])
+        return Ids(np.concatenate(flat) if flat else np.zeros(0, dtype=self.dtype), np.concatenate(edges))
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """The ids of each text (UTF-8), as bytes."""
