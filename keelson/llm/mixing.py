@@ -27,26 +27,29 @@ STRETCHES = 1 << 16
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size, weight, slope, target of sizes(source, source_size), a row for each source.
+    """source, _named, source_size, weight, slope, target of sizes(source, source_size), a row for each source.
 
     Weights are met by filling up: sources in order of MOST * size / weight reach their cap one after the other as long
-    as the rest, shared by weight, would lift them above it. One row per source goes through these windows.
+    as the rest, shared by weight, would lift them above it. There may be as many sources as there are sites: places in
+    both orders are counted by stretches, and only sums over all come to the driver.
     """
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    place = (F.row_number().over(by_name) - 1) % len(WEIGHTS)
-    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), place + 1)
-    named = sizes.select("source", "source_size", pick(WEIGHTS).cast("double").alias("weight"), pick(SLOPES).alias("slope"))
-    cap = F.col("source_size") * float(MOST)
-    by_cap = Window.orderBy(F.col("source_size") * float(MOST) / F.col("weight"), F.col("source").asc_nulls_last())
-    upto, after = by_cap.rowsBetween(Window.unboundedPreceding, -1), by_cap.rowsBetween(0, Window.unboundedFollowing)
-    everything = Window.partitionBy(F.lit(0))
-    demand = F.sum("source_size").over(everything) * SHARE
-    named = named.withColumn("_level", (demand - F.coalesce(F.sum(cap).over(upto), F.lit(0.0))) / F.sum("weight").over(after)).withColumn("_demand", demand)
-    named = named.withColumn("_full", cap <= F.col("weight") * F.col("_level"))
-    filled = F.sum(F.when(F.col("_full"), cap).otherwise(0.0)).over(everything)
-    open_weight = F.sum(F.when(F.col("_full"), 0.0).otherwise(F.col("weight"))).over(everything)
-    shared = F.col("weight") * ((F.col("_demand") - filled) / F.nullif(open_weight, F.lit(0.0)))
-    return named.select("source", "source_size", "weight", "slope", F.when(F.col("_full"), cap).otherwise(shared).alias("target"))
+    cap, one = F.col("source_size") * float(MOST), F.lit(1)
+    named = stash(sizes.withColumn("_named", _source_name(F.col("source"))).withColumn("_stretch", F.substring("_named", 1, 3)).withColumn("_one", one))
+    place = F.col("_place") % len(WEIGHTS)
+    pick = lambda xs: F.element_at(F.array(*map(F.lit, xs)), place.cast("int") + 1)
+    placed = running_total(named, [], "_stretch", ["_named"], "_one", "_place")
+    placed = placed.withColumn("weight", pick(WEIGHTS).cast("double")).withColumn("slope", pick(SLOPES)).withColumn("_cap", cap)
+    placed = placed.withColumn("_ratio", F.col("_cap") / F.col("weight")).withColumn("_stretch", F.floor(F.log2(F.col("_ratio") + 1) * 16).cast("int"))
+    placed = stash(placed.select("source", "_named", "source_size", "weight", "slope", "_cap", "_ratio", "_stretch"))
+    everything = placed.agg(F.sum("source_size"), F.sum("weight")).first()
+    demand, weights = (everything[0] or 0) * SHARE, everything[1] or 0.0
+    order = ["_ratio", "_named"]
+    filled = running_total(stash(running_total(placed, [], "_stretch", order, "_cap", "_lower")), [], "_stretch", order, "weight", "_lighter")
+    level = (F.lit(demand) - F.col("_lower")) / (F.lit(weights) - F.col("_lighter"))
+    filled = stash(filled.withColumn("_full", F.col("_cap") <= F.col("weight") * level))
+    rest = filled.agg(F.sum(F.when(F.col("_full"), F.col("_cap")).otherwise(0.0)), F.sum(F.when(F.col("_full"), 0.0).otherwise(F.col("weight")))).first()
+    shared = F.col("weight") * F.lit((demand - rest[0]) / rest[1] if rest[1] else None).cast("double")
+    return filled.select("source", "_named", "source_size", "weight", "slope", F.when(F.col("_full"), F.col("_cap")).otherwise(shared).alias("target"))
 
 
 def time_of(words: Column, target: Column, slope: Column) -> Column:
@@ -70,8 +73,7 @@ def _placed(docs: DataFrame, id_col: str, text_col: str, source_col: str, seed:
     words = F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("bigint")
     slim = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), words.alias("size"), _order_key(F.col(id_col), seed).alias("_key"), *carry)
     slim = stash(slim.withColumn("_named", _source_name(F.col("source"))).withColumn("_bucket", F.substring("_key", 1, BUCKET_DIGITS)))
-    targets = source_targets(slim.groupBy("source", "_named").agg(F.sum("size").alias("source_size")).drop("_named"))
-    targets = targets.withColumn("_named", _source_name(F.col("source"))).drop("source")
+    targets = source_targets(slim.groupBy("source").agg(F.sum("size").alias("source_size"))).drop("source")
     return running_total(slim, ["_named"], "_bucket", ["_key", "size", *carry], "size", "_before").join(targets, "_named")
 
 

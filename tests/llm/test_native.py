@@ -218,6 +218,24 @@ def test_each_copy_has_its_time(spark):
     assert mixing.mix_schedule(docs.limit(0)).count() == 0
 
 
+def test_targets_of_many_sources(spark):
+    rng = random.Random(21)
+    sizes = {f"site{i:04d}": rng.choice([0, 1, 40, rng.randrange(10**6)]) for i in range(700)} | {"": 7, None: 12_345}
+    order = sorted(s for s in sizes if s is not None) + [None]
+    weight = {s: (5, 2, 1)[i % 3] for i, s in enumerate(order)}
+    full = set()
+    while True:
+        rest, open_ = 1.5 * sum(sizes.values()) - sum(2 * sizes[s] for s in full), [s for s in order if s not in full]
+        level = rest / sum(weight[s] for s in open_)
+        if not (over := {s for s in open_ if weight[s] * level > 2 * sizes[s]}):
+            break
+        full |= over
+    got = mixing.source_targets(spark.createDataFrame([*sizes.items()], "source string, source_size long")).collect()
+    assert len(got) == len(sizes) and 100 < len(full) < 700
+    for r in got:
+        assert abs(r.target - (2 * sizes[r.source] if r.source in full else weight[r.source] * level)) < 1e-6 and r.weight == weight[r.source]
+
+
 def time_at(words, target, slope):
     """When the sum of target * (1 + slope * (2t - 1)) over time reaches words: by halving."""
     low, high = 0.0, 1.0
