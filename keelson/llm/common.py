@@ -114,56 +114,60 @@ def drop_rows(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str) -> D
     return left.where(F.col("_lost").isNull() | (F.col("_place") > F.col("_lost"))).select("_doc.*")
 
 
-#: Quantiles of the ids, and even parts between two of them, whose bytes are counted to cut ranges.
-QUANTILES, PARTS = 1024, 64
+#: Ids drawn to be marks on a grid, and even parts between two of them, whose bytes are counted to cut ranges.
+MARKS, PARTS = 4096, 16
 
 
 class Ranges:
     """Ranges of (id, tie) in order, of about as many bytes each: what place() gives never falls as ids grow, nor among
     rows of one id as their ties do. Null ids come first, by their ties alone.
 
-    The bytes between the edges of a grid are counted exactly, QUANTILES * PARTS numbers; a part of the grid that holds more
-    than a range is laid out evenly by id, and by tie within an id.
+    The bytes between the edges of a grid are counted exactly, MARKS * PARTS numbers; a part of the grid that holds more than a
+    range is laid out evenly by id, and by tie within an id. Which ids are marks only matters for how fine the grid is.
     """
 
     def __init__(self, rows: DataFrame, target: int):
         """rows: doc_id (long), tie (long, a hash) and size (long); read three times, so it should be cheap or stashed."""
-        known = rows.where(F.col("doc_id").isNotNull())
-        found = known.select(F.col("doc_id").cast("double").alias("x")).approxQuantile("x", [i / QUANTILES for i in range(QUANTILES + 1)], 1 / (4 * QUANTILES))
-        marks = np.unique(np.concatenate((found, np.array(found) + 1)))  # an id with many rows gets a part of its own
-        fine = [np.linspace(a, b, PARTS, endpoint=False) if b - a > 1 else [a] for a, b in zip(marks[:-1], marks[1:], strict=True)]
-        self.edges = np.unique(np.floor(np.concatenate([*fine, marks[-1:]]))) if len(marks) else np.zeros(1)
-        self.below = np.zeros(len(self.edges) + 1)
+        drawn = rows.where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id", "tie", F.monotonically_increasing_id())).select("doc_id").limit(MARKS)
+        found = [r["doc_id"] for r in drawn.collect()] or [0]
+        marks = sorted({*found, *(min(x + 1, 2**63 - 1) for x in found)})  # an id with many rows gets a part of its own
+        fine = {a + (b - a) * k // PARTS for a, b in zip(marks, marks[1:], strict=False) for k in range(PARTS)}
+        edges = sorted(fine | {marks[-1]})
+        self.edges = np.array(edges, dtype=np.int64)
+        self.wide = np.array([*(b - a for a, b in zip(edges, edges[1:], strict=False)), 1], dtype=np.float64)
+        self.below = np.zeros(len(edges) + 1)
         self.nulls, self.target = 0, target
 
         @F.pandas_udf("int")
-        def cell(ids: pd.Series) -> pd.Series:
-            return pd.Series(self._cell(ids))
+        def cell(ids: pd.Series, known: pd.Series) -> pd.Series:
+            return pd.Series(self._cell(ids.to_numpy(), known.to_numpy()))
 
-        sizes = {r["cell"]: r["size"] for r in rows.groupBy(cell("doc_id").alias("cell")).agg(F.sum("size").alias("size")).collect()}
+        sizes = {r["cell"]: r["size"] for r in rows.groupBy(cell(*self._whole(F.col("doc_id"))).alias("cell")).agg(F.sum("size").alias("size")).collect()}
         self.nulls = -(-(sizes.pop(-1, 0) or 0) // target)
         for at, size in sizes.items():
             self.below[at + 1] = size
         self.below = np.cumsum(self.below)
         self.count = max(1, self.nulls + -(-int(self.below[-1]) // target))
 
-    def _cell(self, ids: pd.Series) -> np.ndarray:
-        x = pd.to_numeric(ids).to_numpy(dtype=np.float64, na_value=np.nan)
-        return np.where(np.isnan(x), -1, np.clip(np.searchsorted(self.edges, x, side="right") - 1, 0, None)).astype(np.int32)
-
-    def _place(self, ids: pd.Series, ties: pd.Series) -> np.ndarray:
-        cell = self._cell(ids)
-        part = (ties.to_numpy().astype(np.float64) + 2.0**63) / 2.0**64
-        x = pd.to_numeric(ids).to_numpy(dtype=np.float64, na_value=0.0) + np.clip(part, 0, 1 - 1e-9)
-        low = self.edges[cell]
-        wide = np.append(self.edges[1:], self.edges[-1] + 1)[cell] - low
-        size = (self.below[1:] - self.below[:-1])[cell]
-        at = self.nulls + np.floor((self.below[cell] + np.clip((x - low) / wide, 0, 1) * size) / self.target)
+    @staticmethod
+    def _whole(ids: Column) -> tuple[Column, Column]:
+        """Ids without nulls, which pandas would make floats, and whether they are known."""
+        return F.coalesce(ids, F.lit(0).cast("bigint")), ids.isNotNull()
+
+    def _cell(self, ids: np.ndarray, known: np.ndarray) -> np.ndarray:
+        return np.where(known, np.clip(np.searchsorted(self.edges, ids, side="right") - 1, 0, None), -1).astype(np.int32)
+
+    def _place(self, ids: np.ndarray, known: np.ndarray, ties: np.ndarray) -> np.ndarray:
+        cell = self._cell(ids, known)
+        part = np.clip((ties.astype(np.float64) + 2.0**63) / 2.0**64, 0, 1 - 1e-9)
+        above = (ids.view(np.uint64) - self.edges[cell].view(np.uint64)).astype(np.float64)
+        share = np.clip((above + np.where(self.wide[cell] < 2**40, part, 0)) / self.wide[cell], 0, 1)
+        at = self.nulls + np.floor((self.below[cell] + share * (self.below[1:] - self.below[:-1])[cell]) / self.target)
         return np.clip(np.where(cell < 0, np.floor(part * self.nulls), at), 0, self.count - 1).astype(np.int32)
 
     def place(self, ids: Column, ties: Column) -> Column:
         @F.pandas_udf("int")
-        def at(ids: pd.Series, ties: pd.Series) -> pd.Series:
-            return pd.Series(self._place(ids, ties))
+        def at(ids: pd.Series, known: pd.Series, ties: pd.Series) -> pd.Series:
+            return pd.Series(self._place(ids.to_numpy(), known.to_numpy(), ties.to_numpy()))
 
-        return at(ids, ties)
+        return at(*self._whole(ids), ties)

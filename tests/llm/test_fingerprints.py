@@ -128,3 +128,15 @@ def test_fingerprint_documents(spark):
         assert r.near_edited == plain_likeness(own, other) and r.near_next == plain_likeness(own, follow)
     near = [(r.near_edited, r.near_next) for r in got.values() if r.n_chars > 1000]
     assert np.mean([a > b for a, b in near]) > 0.9 and 0.2 < np.mean([a for a, _ in near]) < 0.6
+
+
+def test_any_ids(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 300)
+    ids = [2**63 - 1, 2**60, 2**53 + 1, 2**53, 7, 0, -5, -(2**62), -(2**63), None]
+    rows = [(i, f"document {i} says {i} " * (3 + k)) for k, i in enumerate(ids)]
+    got = {r.doc_id: r for r in fingerprints.fingerprint_documents(table(spark, rows[::-1])).collect()}
+    for (i, text), (_, after) in zip(rows, rows[1:] + rows[:1], strict=True):
+        half = len(text) // 2
+        assert got[i].edited_sha256 == hashlib.sha256((text[: len(text) - half] + after[:half]).encode()).hexdigest()
+    many = fingerprints.fingerprint_documents(table(spark, [(None, f"no id {k} " * 9) for k in range(80)])).collect()
+    assert len(many) == 80 and len({r.fingerprint for r in many}) == 80

@@ -84,6 +84,19 @@ def test_documents_and_texts(spark, monkeypatch):
     assert sum(r.n_removed == r.n_bytes for r in repeated) == 2
 
 
+def test_any_ids(spark, monkeypatch):
+    monkeypatch.setattr(repeats, "BLOCK_BYTES", 3_000)
+    rng = random.Random(3)
+    shared = "".join(rng.choice("abcdefgh ") for _ in range(400))
+    ids = [-(2**63), -(2**62), -5, 0, 2**53, 2**53 + 1, 2**60, 2**63 - 1]
+    rows = [(i, shared[rng.randrange(200) :] + f" own {i} " * 20) for i in ids]
+    want = plain([(i, t.encode()) for i, t in rows])
+    got = repeats.find_repeats(table(spark, rows[::-1])).collect()
+    assert {r.doc_id: [(r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)] for r in got} == want
+    nulls = repeats.find_repeats(table(spark, [(None, shared)] * 30 + rows)).collect()
+    assert len(nulls) == 30 + len(rows) and sum(r.n_removed == 0 for r in nulls) == 1
+
+
 def test_buckets_are_even(spark):
     """Names are least hashes; each of many buckets gets about its share of them all the same."""
     docs = spark.read.parquet(f"{SF}/documents.parquet").collect()
@@ -118,7 +131,7 @@ def test_a_bucket_that_streams_is_one_that_does_not(spark):
 def test_ranges_hold_like_bytes(spark):
     """Ids in a few clusters, one id and no id with a third of the rows each: ranges in order, none much above its bytes."""
     rng = random.Random(6)
-    ids = [None] * 1000 + [77] * 1000 + [rng.choice([0, 10**6, 10**12]) + rng.randrange(400) for _ in range(1000)]
+    ids = [None] * 1000 + [77] * 1000 + [2**62 + 3] * 500 + [rng.choice([-(2**63), 10**6, 10**12, 2**62, 2**63 - 400]) + rng.randrange(400) for _ in range(1000)]
     rows = spark.createDataFrame([(i, rng.randrange(-(2**63), 2**63), rng.randrange(1, 200)) for i in ids], "doc_id long, tie long, size long")
     ranges = common.Ranges(rows, 3000)
     got = rows.withColumn("at", ranges.place(F.col("doc_id"), F.col("tie"))).collect()
