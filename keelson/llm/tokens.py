@@ -2,8 +2,8 @@
 
 A vocabulary's path is a parameter. Texts are split into words in Arrow and the words of a group of texts become a dictionary,
 so what follows costs by distinct words: they are split into the pieces that the library would merge one by one, also in
-Arrow, and the distinct ones of all words go through the library by one call. The ids are those of the library: every string
-with a character for which the split here isn't known to agree with the library's goes through it whole.
+Arrow, and those not known from the groups before go through the library, many by one call. The ids are those of the library:
+every string with a character for which the split here isn't known to agree with the library's goes through it whole.
 """
 
 from __future__ import annotations
@@ -20,8 +20,8 @@ import pyarrow.compute as pc
 #: Characters for which normalisation is lower-casing only and the classes of all libraries agree: ASCII, the Latin
 #: letters before U+0180 (without U+0130, whose lower case is two characters) and general punctuation.
 SAFE = [chr(c) for r in ((9, 11), (13, 14), (0x20, 0x7F), (0xA1, 0x130), (0x131, 0x180), (0x2010, 0x2028), (0x2030, 0x205F), (0x20A0, 0x20C0)) for c in range(*r)]
-#: Pieces whose ids are kept from one group of texts to the next, those of the last groups first.
-CACHE = 300_000
+#: Pieces whose ids are kept from one group of texts to the next, those of the last groups first, and the bytes of the longest.
+CACHE, LONGEST = 300_000, 64
 #: Pieces that the library merges at once.
 MERGED = 1 << 15
 #: Bytes of text split into words at once.
@@ -101,8 +101,9 @@ class _Known:
         there = at.is_valid()
         found = self.ids.take(at.drop_null().to_numpy()).replaced(there, make(pieces.filter(pc.invert(there))), every=False)
         others = np.nonzero(~pc.is_in(self.pieces, value_set=pieces).to_numpy(zero_copy_only=False))[0][: max(0, CACHE - len(pieces))]
-        self.pieces = pa.concat_arrays([pieces, self.pieces.take(pa.array(others))])
-        self.ids = found.then(self.ids.take(others))
+        short = pc.less_equal(pc.binary_length(pieces), LONGEST)
+        self.pieces = pa.concat_arrays([pieces.filter(short), self.pieces.take(pa.array(others))])
+        self.ids = found.take(np.nonzero(short.to_numpy(zero_copy_only=False))[0]).then(self.ids.take(others))
         return found
 
 
