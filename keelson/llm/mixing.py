@@ -24,6 +24,8 @@ SEED = 17
 BUCKET_DIGITS = 3
 #: Stretches of training time that copies are counted by to give them their global positions.
 STRETCHES = 1 << 16
+#: Bytes of text to a partition of take_mix, and the most partitions.
+PART_BYTES, MOST_PARTS = 32 << 20, 20_000
 
 
 def source_targets(sizes: DataFrame) -> DataFrame:
@@ -168,8 +170,10 @@ FROM g LEFT JOIN p a ON a.doc_id = g.doc_id AND a.copy = 1 LEFT JOIN p b ON b.do
 
 def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
     """docs as the mix takes them: a row for each copy that mix_sources, without cuts, takes (0 to MOST of a row), range-sorted
-    by training time, copies of one time by key; its columns as they are, whatever their names. The sort moves whole rows once,
-    so copies get no position."""
+    by training time, copies of one time by key; its columns as they are, whatever their names. Partitions are even stretches of
+    time, in which about as many words are taken, so whole rows move once to be sorted and nothing has to be sampled."""
+    size = docs.agg(F.sum(F.octet_length(text_col) + 1)).first()[0] or 0
+    parts = max(1, min(-(-size * MOST // PART_BYTES), MOST_PARTS))
     raw = F.xxhash64(F.col(text_col))
     same = ["_key", "_named", "_raw"]
     # rows that agree in these follow one another in their source's order, so the first one's place gives them all
@@ -182,4 +186,5 @@ def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", so
     rows = rows.select("_doc", "_key", "_before", *[F.col(f"_{c}").alias(c) for c in ("size", "source_size", "target", "slope")])
     times = F.slice(F.array(F.struct(F.col("first_time").alias("time"), F.lit(1).alias("copy")), F.struct(F.col("second_time").alias("time"), F.lit(2).alias("copy"))), F.lit(1), F.col("copies"))
     copies = _taken(rows, cut=False).where("copies > 0").select("_doc", "_key", F.explode(times).alias("_at"))
-    return copies.orderBy("_at.time", "_key", "_at.copy").select("_doc.*")
+    stretch = F.least(F.floor(F.col("_at.time") * parts), F.lit(parts - 1)).cast("int")
+    return copies.withColumn("_part", stretch).repartitionById(parts, "_part").sortWithinPartitions("_at.time", "_key", "_at.copy").select("_doc.*")

@@ -202,7 +202,7 @@ def test_mixing(spark):
     assert mixing.mix_sources(docs.limit(0)).count() == 0
 
 
-def test_each_copy_has_its_time(spark):
+def test_each_copy_has_its_time(spark, monkeypatch):
     rows = [(i, "w " * (1 + i % 50), f"s{i % 3}") for i in range(400)] + [(i, "w " * 20, "s1") for i in range(400, 440)] + [(900, "same row", "s0")] * 5 + [(901, f"tie {i % 2}", "s0") for i in range(6)]
     docs = table(spark, rows)
     for cut in (True, False):
@@ -213,8 +213,10 @@ def test_each_copy_has_its_time(spark):
         assert sorted(want) == sorted((t, r.doc_id) for r in told for t in (r.first_time, r.second_time) if t is not None)
         assert sum(r.words for r in got) == sum(r.taken for r in told)
         assert any(r.copy == 2 for r in got)
-    out = mixing.take_mix(docs).collect()
-    assert [r.doc_id for r in out] == [r.doc_id for r in got]
+    for size in (mixing.PART_BYTES, 3_000):
+        monkeypatch.setattr(mixing, "PART_BYTES", size)
+        out = mixing.take_mix(docs).collect()
+        assert [r.doc_id for r in out] == [r.doc_id for r in got]
     assert mixing.mix_schedule(docs.limit(0)).count() == 0
 
 
