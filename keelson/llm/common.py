@@ -115,7 +115,7 @@ def drop_rows(docs: DataFrame, lost: DataFrame, id_col: str, text_col: str) -> D
 
 
 #: Ids drawn to be marks on a grid, and even parts between two of them, whose bytes are counted to cut ranges.
-MARKS, PARTS = 4096, 16
+MARKS, PARTS = 2048, 8
 
 
 class Ranges:
