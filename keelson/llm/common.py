@@ -48,6 +48,12 @@ def drop_stash(df: DataFrame) -> None:
         remove_path(df.sparkSession, file.get())
 
 
+def drawn(key: Column, n: int, total: int) -> Column:
+    """True for about n of total rows (for all, if there are no more): those whose hash is among the least. So a sample is
+    taken in the partitions, and no more than it moves."""
+    return key <= F.lit(min(int(-(2**63) + 2**64 * (n / max(total, 1))), 2**63 - 1)) if n < total else F.lit(True)
+
+
 def hot_rows(total: int, most: int = 1 << 16) -> int:
     """Rows from which a key is dealt in parts: so many in any table, and less in a small one, where they are a task's share too."""
     return min(most, max(128, total // 2048))
@@ -128,8 +134,9 @@ class Ranges:
 
     def __init__(self, rows: DataFrame, target: int):
         """rows: doc_id (long), tie (long, a hash) and size (long); read three times, so it should be cheap or stashed."""
-        drawn = rows.where(F.col("doc_id").isNotNull()).orderBy(F.xxhash64("doc_id", "tie", F.monotonically_increasing_id())).select("doc_id").limit(MARKS)
-        found = [r["doc_id"] for r in drawn.collect()] or [0]
+        known = rows.where(F.col("doc_id").isNotNull())
+        chosen = known.where(drawn(F.xxhash64("doc_id", "tie", F.monotonically_increasing_id()), MARKS, known.count()))
+        found = [r["doc_id"] for r in chosen.select("doc_id").collect()] or [0]
         marks = sorted({*found, *(min(x + 1, 2**63 - 1) for x in found)})  # an id with many rows gets a part of its own
         fine = {a + (b - a) * k // PARTS for a, b in zip(marks, marks[1:], strict=False) for k in range(PARTS)}
         edges = sorted(fine | {marks[-1]})

@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, give_back, stash, text_or_empty
+from .common import documents, drawn, give_back, stash, text_or_empty
 
 #: Labelled rows fitted on, for each label: the bound of the sample, and so of what is collected and broadcast.
 SAMPLE = 2048
@@ -184,8 +184,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     labels scores are 0.5."""
     usable = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("int").alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     usable = stash(usable.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other"))
-    share = usable.agg(F.avg("label")).first()[0]
-    by_hash = lambda label: usable.where(F.col("label") == label).orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "doc_id").limit(sample)
+    n = {0: 0, 1: 0} | {r["label"]: r["count"] for r in usable.groupBy("label").count().collect()}
+    share = n[1] / (n[0] + n[1]) if n[0] + n[1] else 0.5
+    key = F.xxhash64(F.lit("quality"), "doc_id")
+
+    def by_hash(label: int) -> DataFrame:
+        """The sample rows of a label with the least hashes; twice as many are drawn first, where they are."""
+        return usable.where((F.col("label") == label) & drawn(key, 2 * sample, n[label])).orderBy(key, "doc_id").limit(sample)
+
     texts = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).cast("binary").alias("text"))
     rows = texts.join(F.broadcast(by_hash(0).unionAll(by_hash(1))), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text"))
 
@@ -198,7 +204,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     raw = np.zeros((len(got), TERMS))
     for x, r in zip(raw, got, strict=True):
         x[np.frombuffer(r["terms"]["at"], "<u2")] = np.frombuffer(r["terms"]["value"], "<f4")
-    return Model(raw, np.array([r["label"] for r in got]), 0.5 if share is None else share)
+    return Model(raw, np.array([r["label"] for r in got]), share)
 
 
 def scorer(spark: SparkSession, model: Model):

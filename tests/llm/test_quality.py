@@ -4,6 +4,7 @@ import zlib
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from keelson.llm import quality
 
@@ -89,3 +90,16 @@ def test_odd_rows(spark):
     assert kept.columns == docs.columns and kept.count() == sum(r.predicted for r in got)
     assert quality.score_documents(docs.limit(0), labels).count() == 0
     assert {r.score for r in quality.score_documents(docs, labels.limit(0)).collect()} == {0.5}
+
+
+def test_the_sample_is_drawn_by_hash(spark, monkeypatch):
+    """Where labels are many, the fitted rows are those with the least hashes, and as many as the sample."""
+    docs = spark.range(6000).selectExpr("id as doc_id", "concat('text ', repeat('a!', cast(id % 50 as int)), ' ', id) as text")
+    labels = spark.range(6000).selectExpr("id as doc_id", "cast(id % 2 as int) as quality")
+    model = quality.fit(docs, labels, sample=100)
+    assert len(model.labels) == 200 and model.labels.sum() == 100
+    usable = labels.where(~quality.held_out()).withColumn("h", F.xxhash64(F.lit("quality"), "doc_id")).collect()
+    least = {r.doc_id for y in (0, 1) for r in sorted((r for r in usable if r.quality == y), key=lambda r: r.h)[:100]}
+    texts = [t for _, t in sorted((r.doc_id, r.text) for r in docs.collect() if r.doc_id in least)]
+    want = quality.Model(quality.features([t.encode() for t in texts]).astype(np.float32).astype(float), model.labels, model.share)
+    assert np.allclose(model.vectors, want.vectors, atol=1e-4)
