@@ -25,7 +25,9 @@ TERMS, DIMENSIONS, NEIGHBOURS, POWER = 4096, 48, 15, 8
 THRESHOLD = 0.7
 #: Documents and bytes taken at once; a longer text goes in blocks of at most that size, cut behind white space. Their counts
 #: are added, and their distinct words merged.
-ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 1 << 21
+ROWS_AT_ONCE, BYTES_AT_ONCE = 256, 1 << 20
+#: Rows whose texts are copied at once.
+SCORED = 1024
 _EXTRA = 24
 _BUCKETS = 16
 
@@ -213,9 +215,9 @@ def scorer(spark: SparkSession, model: Model):
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        made = pd.Series(shared.value.score([bytes(t) for t in texts]))
+        parts = [shared.value.score([bytes(t) for t in texts.iloc[at : at + SCORED]]) for at in range(0, len(texts), SCORED)]
         give_back()
-        return made
+        return pd.Series(np.concatenate(parts) if parts else np.zeros(0))
 
     return lambda text: score(text_or_empty(text).cast("binary"))
 

@@ -25,7 +25,7 @@ CACHE, LONGEST = 300_000, 64
 #: Pieces that the library merges at once.
 MERGED = 1 << 15
 #: Bytes of text split into words at once.
-AT_ONCE = 6 << 20
+AT_ONCE = 4 << 20
 #: Marks the end of a piece while words are split; not a safe character.
 _END = "\x1f"
 
